@@ -1,0 +1,4 @@
+"""Registered queries: importing this package fills the registry."""
+
+from tripweave.plans import q_samples  # noqa: F401
+from tripweave.plans.registry import ORACLES, QUERIES  # noqa: F401

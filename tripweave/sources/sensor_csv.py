@@ -26,9 +26,9 @@ def file_order(block_start="_block", row_id="_row") -> Column:
     High bits: 64 KiB block the split starts in; low bits: row number inside the
     read task.  Needs no sort, no shuffle and no line counting.
     """
-    block = F.shiftright(F.shiftright(F.col(block_start), 16), 0)
+    block = F.shiftright(F.col(block_start).cast("bigint"), 16)
     low = F.col(row_id).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    return F.shiftleft(block.cast("bigint"), _ROW_BITS).bitwiseOR(low)
+    return F.shiftleft(block, _ROW_BITS).bitwiseOR(low)
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
