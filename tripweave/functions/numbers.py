@@ -25,27 +25,37 @@ def finite_or_null(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
-def py_round(c, digits: int = 0) -> Column:
-    """Round half to even on the exact binary value, as Python's round() does.
-
-    ``2 * 10**digits * v`` is subtracted from the odd tie number ``2k + 1`` one
-    power of two at a time.  Every partial difference is exact (the operands are
-    within a factor of two), so the sign tells which side of the tie ``v`` is on.
-    """
-    v = col(c).cast("double")
-    a = F.abs(v)
+def _round_exact(v: Column, digits: int) -> Column:
     scale = 10 ** digits
-    k = F.floor(a * F.lit(float(scale))).cast("double")
+    k = F.floor(v * F.lit(float(scale))).cast("double")
     rest = k * 2.0 + 1.0
     bits = 2 * scale
     power = 1 << (bits.bit_length() - 1)
     while power:
         if bits & power:
-            rest = rest - a * F.lit(float(power))
+            rest = rest - v * F.lit(float(power))
         power >>= 1
-    up = (rest < 0) | ((rest == 0) & (k % 2 == 1))
-    rounded = F.signum(v) * F.when(up, k + 1.0).otherwise(k) / F.lit(float(scale))
-    return F.when(a * F.lit(float(scale)) < F.lit(2.0 ** 51), rounded).otherwise(v)
+    # k + 0.25, k + 0.75 or, on a tie, k + 0.5, which rint sends to the even side
+    rounded = F.rint(k + 0.5 - F.signum(rest) * 0.25) / F.lit(float(scale))
+    return F.when(F.abs(v) < F.lit(2.0 ** 51 / scale), rounded).otherwise(v)
+
+
+def py_round(c, digits: int = 0, inline: bool = False) -> Column:
+    """Round half to even on the exact binary value, as Python's round() does.
+
+    ``2 * 10**digits * v`` is subtracted from the odd tie number ``2k + 1`` one
+    power of two at a time.  Every partial difference is exact (the operands are
+    within a factor of two), so the sign tells which side of the tie ``v`` is on.
+
+    The formula uses its argument many times.  By default the argument is bound
+    once by a lambda, which keeps plans small when rounded columns feed filters
+    and further rounding.  ``inline`` writes the formula out, for per-sample
+    columns where generated code matters.
+    """
+    v = col(c).cast("double")
+    if inline:
+        return _round_exact(v, digits)
+    return F.transform(F.array(v), lambda x: _round_exact(x, digits))[0]
 
 
 def fixed(c, digits: int) -> Column:

@@ -40,7 +40,7 @@ def value_groups(windowed: DataFrame) -> DataFrame:
     Only primitive buffers, so both the partial and the final step are hash
     aggregates; the partial step shrinks the rows before the exchange.
     """
-    return (windowed.withColumn("rounded", py_round("value", 1))
+    return (windowed.withColumn("rounded", py_round("value", 1, inline=True))
             .groupBy("trip_id", "pid", "rounded")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"),
                  F.min("value").alias("lo"), F.max("value").alias("hi"),

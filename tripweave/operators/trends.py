@@ -53,35 +53,15 @@ def first_last_trend(trips: DataFrame, value: str, rise: float = 1.0, minimum: i
     return out.withColumn("rising", (F.col("n") >= minimum) & (F.col("last") > F.col("first") + rise))
 
 
-def economy_context(trips: DataFrame, approximate: bool = False) -> DataFrame:
+def economy_context(trips: DataFrame) -> DataFrame:
     """Median plausible km/L per vehicle, rounded to 0.1.
 
-    Exact by default; ``approximate`` bounds the state of one vehicle's median.
+    The exact median counts distinct values; a plausible economy has two decimals
+    between 2 and 60, so its buffer holds at most 5,800 of them for any vehicle.
     """
-    known = plausible_economy(trips)
-    med = F.percentile_approx("economy", 0.5, 10000) if approximate else F.median("economy")
-    return known.groupBy("vehicle_id").agg(py_round(med, 1).alias("median_kml"),
-                                           F.count(F.lit(1)).alias("n"))
-
-
-def exact_median(rows: DataFrame, value: str) -> DataFrame:
-    """Median per vehicle from the two middle positions of a ranked value table.
-
-    Equal values are merged first and counted, so the ranked rows are distinct
-    values and no buffer holds a vehicle's whole series.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy("vehicle_id", value).agg(
-        F.count(F.lit(1)).alias("c"))
-    ranked = o.ordered_scan(counts, ["vehicle_id"], [value], F.floor(F.col(value)).cast("bigint"),
-                            upto=o.running_sum("c"))
-    total = counts.groupBy("vehicle_id").agg(F.sum("c").alias("n"))
-    r = ranked.join(total, "vehicle_id")
-    half_lo, half_hi = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    holds = lambda p: (F.col("upto") >= p) & (F.col("upto") - F.col("c") < p)
-    return r.groupBy("vehicle_id").agg(
-        ((F.max(F.when(holds(half_lo), F.col(value)))
-          + F.max(F.when(holds(half_hi), F.col(value)))) / 2).alias("median"),
-        F.max("n").alias("n"))
+    return plausible_economy(trips).groupBy("vehicle_id").agg(
+        F.median("economy").alias("_m"), F.count(F.lit(1)).alias("n")).select(
+        "vehicle_id", py_round("_m", 1).alias("median_kml"), "n")
 
 
 def economy_stats(trips: DataFrame, minimum: int = 3, recent: int = 5, enough: int = 8) -> DataFrame:
@@ -92,13 +72,12 @@ def economy_stats(trips: DataFrame, minimum: int = 3, recent: int = 5, enough: i
     long = F.col("size") >= enough
     best = F.struct(F.col("economy"), -F.col("pos"))
     agg = ranked.groupBy("vehicle_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("economy").alias("best"),
+        F.count(F.lit(1)).alias("n"), F.median("economy").alias("median"),
+        F.max("economy").alias("best"),
         F.max_by("start", best).alias("best_start"),
         F.avg(F.when(long & late, F.col("economy"))).alias("recent"),
         F.avg(F.when(long & ~late, F.col("economy"))).alias("older"))
-    medians = exact_median(known, "economy").select("vehicle_id", "median")
-    return (agg.join(medians, "vehicle_id").filter(F.col("n") >= minimum)
-            .withColumn("best_date", day_month("best_start")))
+    return agg.filter(F.col("n") >= minimum).withColumn("best_date", day_month("best_start"))
 
 
 def best_trip(trips: DataFrame) -> DataFrame:
@@ -128,17 +107,18 @@ def cost_stats(trips: DataFrame, minimum: int = 4, days: int = 30) -> DataFrame:
 
 
 def battery_stats(trips: DataFrame, minimum: int = 4, recent: int = 4) -> DataFrame:
-    """Last, median, and last four against earlier starting voltages."""
+    """Last, median, and last four against earlier starting voltages.
+
+    Stored voltages have two decimals, so the median's counts stay few.
+    """
     known = trips.filter(is_sensor() & F.col("battery_startup_v").isNotNull())
     ranked = with_rank(known)
     late = F.col("pos") > F.col("size") - recent
     v = F.col("battery_startup_v")
     agg = ranked.groupBy("vehicle_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by(v, "pos").alias("last"),
+        F.count(F.lit(1)).alias("n"), F.max_by(v, "pos").alias("last"), F.median(v).alias("median"),
         F.avg(F.when(late, v)).alias("recent"), F.avg(F.when(~late, v)).alias("older"))
-    medians = exact_median(known, "battery_startup_v").select("vehicle_id", "median")
-    return (agg.join(medians, "vehicle_id").filter(F.col("n") >= minimum)
-            .withColumn("older", F.coalesce("older", "recent")))
+    return agg.filter(F.col("n") >= minimum).withColumn("older", F.coalesce("older", "recent"))
 
 
 def trend_series(trips: DataFrame, metrics: list[str]) -> DataFrame:

@@ -350,7 +350,7 @@ FROM (SELECT *, CASE WHEN r < 0 THEN r + 65536 ELSE r END AS raw FROM (
   FROM samples_v s LEFT JOIN fix_dim_v USING (pid)))""", ("samples_v", "fix_dim_v"))
 def swap_correct(spark, d):
     dim = spark.createDataFrame(CORRECTIONS, "pid string, div double, mul double, ofs double")
-    return sm.correct_values(v.samples(spark, d), dim).select("seq", "pid", r6("value"))
+    return sm.correct_values(v.samples(spark, d), dim).select("seq", "pid", r6("value", inline=True))
 
 
 @query("correction_lookup", """
@@ -554,7 +554,7 @@ SELECT seq, {s6('(value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END', 'sca
   SELECT *, min(value) OVER p AS lo, max(value) OVER p AS hi FROM samples_v
   WINDOW p AS (PARTITION BY trip_id, pid))""", ("samples_v",))
 def min_max_scale(spark, d):
-    return tr.min_max_scale(v.samples(spark, d), ["trip_id", "pid"], "value").select("seq", r6("scaled"))
+    return tr.min_max_scale(v.samples(spark, d), ["trip_id", "pid"], "value").select("seq", r6("scaled", inline=True))
 
 
 # -- names -----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tripweave.functions import py_round
 from tripweave.plans.views import dec, with_views
@@ -25,15 +25,11 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), recurs
     return register
 
 
-def r6(c, name: str | None = None) -> Column:
+def r6(c, name: str | None = None, inline: bool = False) -> Column:
     """Computed doubles are compared to six decimals."""
-    out = py_round(c, 6)
+    out = py_round(c, 6, inline=inline)
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 
 def s6(x: str, name: str | None = None) -> str:
     return f"{dec(x, 6)} AS {name or x}"
-
-
-def text(c) -> Column:
-    return F.to_json(c)

@@ -204,8 +204,13 @@ FROM (SELECT o_custkey AS vehicle_id, l_orderkey * 10 + l_linenumber AS leg_id,
 }
 
 
-def add_view(name: str, needs: list[str], text: str) -> None:
+RECURSIVE: set[str] = set()
+
+
+def add_view(name: str, needs: list[str], text: str, recursive: bool = False) -> None:
     SQL[name] = (needs, text)
+    if recursive:
+        RECURSIVE.add(name)
 
 
 def with_views(text: str, *names: str, recursive: bool = False) -> str:
@@ -221,7 +226,7 @@ def with_views(text: str, *names: str, recursive: bool = False) -> str:
     for n in names:
         visit(n)
     ctes = ", ".join(f"{n} AS ({SQL[n][1]})" for n in ordered)
-    word = "WITH RECURSIVE" if recursive else "WITH"
+    word = "WITH RECURSIVE" if recursive or any(n in RECURSIVE for n in ordered) else "WITH"
     body = text.strip()
     if not ctes:
         return body
