@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripweave import fixed_values as fv
-from tripweave.functions import fixed, km_per_l_of_trip, nonzero, ratio
+from tripweave.functions import fixed, km_per_l_of_trip, nonzero, py_round
 from tripweave.operators import trends as tr
 from tripweave.operators.trips import is_sensor
 
@@ -153,6 +153,11 @@ def insight_summary(insights: DataFrame) -> DataFrame:
 
 # -- per vehicle ---------------------------------------------------------------
 
+def stable(c: str, kind: str) -> Column:
+    """Sums and means to nine decimals, so the order of adding cannot flip a printed digit."""
+    return py_round(c, 9) if kind == "double" else F.col(c)
+
+
 def vehicle_facts(trips: DataFrame) -> DataFrame:
     """One row per vehicle with every fact the trend rules read."""
     sensor = trips.filter(is_sensor())
@@ -171,7 +176,7 @@ def vehicle_facts(trips: DataFrame) -> DataFrame:
         F.max_by("days_to_service", known("days_to_service")).alias("days_service"))
 
     def prefixed(df, p):
-        return df.select("vehicle_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns
+        return df.select("vehicle_id", *[stable(c, t).alias(f"{p}_{c}") for c, t in df.dtypes
                                          if c != "vehicle_id"])
 
     out = service.join(latest, "vehicle_id", "left")

@@ -59,7 +59,7 @@ _TRIP = [
 # columns of legs over sums per (order, line)
 _LEG = [
     ("duration_min", "qty * 9e0"),
-    ("distance_km", "cents / 4e5"),
+    ("distance_km", "cents / 5e5"),
     ("fuel_l", "CASE WHEN leg_id % 7 = 0 THEN 0e0 ELSE qty / 5e1 END"),
     ("price_fuel", "CASE WHEN leg_id % 11 <> 0 THEN 1.5e0 + (leg_id % 40) / 1e2 END"),
     ("fuel_level", "leg_id % 101"),
