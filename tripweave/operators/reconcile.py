@@ -45,28 +45,23 @@ def overlap_islands(trips: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
     scan = dict(keys=["vehicle_id"], order=["start", "trip_id"], chunk=trip_chunk(width=width))
     reach = o.ordered_scan(rows, **scan, reach=o.max_before("end_s"))
     opens = F.when(F.col("start_s") < F.col("reach"), 0).otherwise(1)
-    return o.ordered_scan(reach.withColumn("opens", opens), **scan,
-                          island=o.running_sum("opens")).drop("opens", "reach")
+    return _islands(reach, opens, scan).drop("reach")
+
+
+def _islands(rows: DataFrame, opens: Column, scan: dict) -> DataFrame:
+    """Number the islands; ``alone`` marks a row that opens one nobody joins."""
+    cut = o.ordered_scan(rows.withColumn("opens", opens), **scan,
+                         island=o.running_sum("opens"), _next=o.following("opens"))
+    alone = (F.col("opens") == 1) & (F.coalesce("_next", F.lit(1)) == 1)
+    return cut.withColumn("alone", alone).drop("opens", "_next")
 
 
 def overlap_dedup(trips: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
     """(vehicle_id, island, trip_id, winner_id): recordings dropped for a richer one."""
-    rows = materialize(overlap_islands(trips, width), "islands")
-    keys = ["vehicle_id", "island"]
-    shape = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct("start_s", "trip_id", "pids", "dur")).alias("a"),
-        F.max(F.struct("start_s", "trip_id", "pids", "dur")).alias("b"))
-    richer = (F.col("b.pids") > F.col("a.pids")) | (
-        (F.col("b.pids") == F.col("a.pids")) & (F.col("b.dur") > F.col("a.dur")))
-    pairs = shape.filter("size = 2").select(
-        *keys, F.when(richer, F.col("a.trip_id")).otherwise(F.col("b.trip_id")).alias("trip_id"),
-        F.when(richer, F.col("b.trip_id")).otherwise(F.col("a.trip_id")).alias("winner_id"))
-    larger = rows.join(shape.filter("size > 2").select(*keys), keys, "left_semi")
-    id_type = dict(rows.dtypes)["trip_id"]
-    lost = folds.fold(larger, keys, ["start_s", "trip_id"], folds.overlap_losers,
-                      f"trip_id {id_type}, winner_id {id_type}")
-    lost = lost.join(larger.select(*keys, "trip_id"), "trip_id").select(*keys, "trip_id", "winner_id")
-    return pairs.unionByName(lost)
+    rows = overlap_islands(trips, width).filter(~F.col("alone")).drop("alone", "start")
+    kind = dict(rows.dtypes)["trip_id"]
+    return folds.fold(rows, ["vehicle_id", "island"], ["start_s", "trip_id"], folds.overlap_losers,
+                      f"trip_id {kind}, winner_id {kind}")
 
 
 def overlap_pairs(trips: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
@@ -350,33 +345,20 @@ def leg_islands(legs: DataFrame, window_s: float = DEDUPE_WINDOW_S,
     scan = dict(keys=["vehicle_id"], order=["start", "leg_id"], chunk=trip_chunk(width=width))
     linked = o.ordered_scan(rows, **scan, _prev=o.previous("start_s"))
     opens = F.when(F.col("start_s") - F.col("_prev") <= window_s, 0).otherwise(1)
-    return o.ordered_scan(linked.withColumn("opens", opens), **scan,
-                          island=o.running_sum("opens")).drop("opens", "_prev")
+    return _islands(linked, opens, scan).drop("_prev")
 
 
 def leg_dedup(legs: DataFrame, window_s: float = DEDUPE_WINDOW_S,
               tolerance: float = DEDUPE_DISTANCE, width: float = TRIP_CHUNK_S) -> DataFrame:
     """(vehicle_id, leg_id, kept_id): legs repeating a kept one."""
-    rows = materialize(leg_islands(legs, window_s, width), "legs")
-    keys = ["vehicle_id", "island"]
-    both = F.struct("start_s", "leg_id", "dist")
-    shape = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min(both).alias("a"),
-                                    F.max(both).alias("b"))
-    far = ((F.col("a.dist") > 0) & (F.col("b.dist") > 0)
-           & (F.abs(F.col("a.dist") - F.col("b.dist"))
-              / F.greatest(F.col("a.dist"), F.col("b.dist")) > tolerance))
-    pairs = shape.filter("size = 2").filter(~far).select(
-        "vehicle_id", F.col("b.leg_id").alias("leg_id"), F.col("a.leg_id").alias("kept_id"))
-    larger = rows.join(shape.filter("size > 2").select(*keys), keys, "left_semi")
-    id_type = dict(rows.dtypes)["leg_id"]
-
-    def step(r, at):
-        return folds.duplicate_legs(r, at, window_s, tolerance)
-
-    lost = folds.fold(larger, keys, ["start_s", "leg_id"], step, f"leg_id {id_type}, kept_id {id_type}")
-    lost = lost.join(larger.select("vehicle_id", "leg_id"), "leg_id").select(
-        "vehicle_id", "leg_id", "kept_id")
-    return pairs.unionByName(lost)
+    rows = leg_islands(legs, window_s, width).filter(~F.col("alone")).drop("alone", "start")
+    kind = dict(rows.dtypes)["leg_id"]
+
+    def step(part, at):
+        return folds.duplicate_legs(part, at, window_s, tolerance)
+
+    return folds.fold(rows, ["vehicle_id", "island"], ["start_s", "leg_id"], step,
+                      f"leg_id {kind}, kept_id {kind}").drop("island")
 
 
 # -- one-to-one nearest matching -----------------------------------------------
@@ -399,19 +381,15 @@ def correlate_nearest(trips: DataFrame, legs: DataFrame, offset_s: float = 3600.
     scan = dict(keys=["vehicle_id"], order=["start", "kind", "ident"], chunk=trip_chunk(width=width))
     linked = o.ordered_scan(both, **scan, _prev=o.previous("start_s"))
     opens = F.when(F.col("start_s") - F.col("_prev") <= window_s, 0).otherwise(1)
-    rows = materialize(o.ordered_scan(linked.withColumn("opens", opens), **scan,
-                                      island=o.running_sum("opens")), "nearest")
-    keys = ["vehicle_id", "island"]
-    mixed = rows.groupBy(*keys).agg(F.count_if(F.col("kind") == 0).alias("a"),
-                                    F.count_if(F.col("kind") == 1).alias("b")).filter("a > 0 and b > 0")
-    open_rows = rows.join(mixed.select(*keys), keys, "left_semi").select(
-        *keys, "kind", "ident", "start_s", "dist")
-
-    def step(r, at):
-        return folds.nearest_pairs(r, at, window_s, tolerance)
-
-    pairs = materialize(folds.fold(open_rows, keys, ["start_s", "kind", "ident"], step,
-                                   "trip_id string, leg_id string, delta_s double"), "pairs")
+    rows = _islands(linked, opens, scan).filter(~F.col("alone")).select(
+        "vehicle_id", "island", "kind", "ident", "start_s", "dist")
+
+    def step(part, at):
+        return folds.nearest_pairs(part, at, window_s, tolerance)
+
+    pairs = materialize(folds.fold(rows, ["vehicle_id", "island"], ["start_s", "kind", "ident"], step,
+                                   "trip_id string, leg_id string, delta_s double")
+                        .drop("vehicle_id", "island"), "pairs")
     left = trips.select("vehicle_id", F.col("trip_id").cast("string").alias("trip_id")).join(
         pairs, "trip_id", "left")
     confidence = (F.when(F.col("leg_id").isNull(), "none")

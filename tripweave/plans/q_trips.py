@@ -428,7 +428,7 @@ def cross_trip_regen(spark, d):
 
 
 @query("linear_slope", f"""
-SELECT vehicle_id, n, {s6('slope')}, n >= 5 AND slope < -10 AS falling FROM (
+SELECT vehicle_id, n, {s6('CASE WHEN n > 1 THEN slope END', 'slope')}, n >= 5 AND slope < -10 AS falling FROM (
   SELECT vehicle_id, count(*) AS n, regr_slope(dpf_avg_regen_km, pos - 1) AS slope
   FROM {_ranked('dpf_avg_regen_km')} GROUP BY 1)""", ("trips_p",))
 def linear_slope(spark, d):

@@ -25,11 +25,21 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), recurs
     return register
 
 
+# means and ratios: nine decimals, as a mean of 2^k decimals often ends on a tie at six
+_RATIOS = {"recent", "older", "median", "mean", "mean_before", "last_rate", "slope", "mean_cost", "avg_price",
+           "cost_per_100km", "mean_distance_km", "km_per_l", "avg_fuel_price", "avg_speed_kmh", "avg_rpm",
+           "price_fuel"}
+
+
+def _digits(name: str) -> int:
+    return 9 if name in _RATIOS else 6
+
+
 def r6(c, name: str | None = None, inline: bool = False) -> Column:
-    """Computed doubles are compared to six decimals."""
-    out = py_round(c, 6, inline=inline)
-    return out.alias(name or (c if isinstance(c, str) else "value"))
+    """Computed doubles are compared to six decimals, means and ratios to nine."""
+    name = name or (c if isinstance(c, str) else "value")
+    return py_round(c, _digits(name), inline=inline).alias(name)
 
 
 def s6(x: str, name: str | None = None) -> str:
-    return f"{dec(x, 6)} AS {name or x}"
+    return f"{dec(x, _digits(name or x))} AS {name or x}"

@@ -76,8 +76,16 @@ def reject_reason(row: str = "r") -> Column:
 
 def parse_lines(lines: DataFrame, delimiter: str = ";") -> DataFrame:
     """Every line with its typed columns and the reason it is rejected, if any."""
-    kept = lines.columns
-    return (lines.withColumn("r", split_line("line", delimiter))
+    return _typed(lines, split_line("line", delimiter), lines.columns)
+
+
+def _typed(lines: DataFrame, fields: Column, kept: list[str]) -> DataFrame:
+    """Typed columns over the split line.
+
+    The one-element explode keeps later filters above the split; pushed below it,
+    they would split the same line once per field they look at.
+    """
+    return (lines.select(*kept, F.explode(F.array(fields)).alias("r"))
             .select(*kept, "r", *sample_columns("r"))
             .withColumn("reason", reject_reason()).drop("r"))
 
@@ -110,8 +118,7 @@ def parse_sniffed(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     for d in DELIMITERS:
         hit = F.col("delimiter") == d
         r = F.when(hit, split_line("line", d)) if r is None else r.when(hit, split_line("line", d))
-    return (rows.withColumn("r", r).select(*lines.columns, "r", *sample_columns("r"))
-            .withColumn("reason", reject_reason()).drop("r"))
+    return _typed(rows, r, lines.columns)
 
 
 def scan_samples(spark: SparkSession, path: str, delimiter: str | None = ";",
