@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripweave import fixed_values as fv
 from tripweave.operators import ordered as o
+from tripweave.operators.joins import salted_join
 
 
 @dataclass(frozen=True)
@@ -74,9 +75,10 @@ def dpf_state(windowed: DataFrame, rules: DpfRules = DpfRules(),
     candidates = features.filter((F.col("dist_n") >= rules.reset_run + 1)
                                  & (F.col("dist_first") > rules.reset_from)).select(
         "trip_id", "dist_first", "dist_first_seq")
-    later = (windowed.filter(F.col("pid") == rules.sensors["distance"])
-             .select("trip_id", "seq", "value").join(candidates, "trip_id")
-             .filter(F.col("seq") > F.col("dist_first_seq")))
+    readings = windowed.filter(F.col("pid") == rules.sensors["distance"]).select(
+        "trip_id", "seq", "value")
+    later = salted_join(readings, candidates, ["trip_id"], "seq").filter(
+        F.col("seq") > F.col("dist_first_seq"))
     runs = run_length_below(later, ["trip_id"], F.col("dist_first") * F.lit(rules.reset_share),
                             chunk_rows)
     f = features.join(runs, "trip_id", "left")

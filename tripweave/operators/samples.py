@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tripweave import fixed_values as fv
 from tripweave.functions import swap_correct
 from tripweave.operators import ordered as o
+from tripweave.operators.joins import dimension, salted_join
 
 
 def sensor_heads(samples: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
@@ -75,11 +76,10 @@ def correction_table(spark) -> DataFrame:
 def correct_values(samples: DataFrame, corrections: DataFrame) -> DataFrame:
     """Apply the byte-swap correction to the sensors the dimension lists.
 
-    ``corrections`` (pid, div, mul, ofs) is a fixed dimension of a few rows, hence
-    the broadcast.
+    ``corrections`` is (pid, div, mul, ofs).
     """
     fixed_value = F.when(F.col("div").isNotNull(), swap_correct("value", "div", "mul", "ofs"))
-    return (samples.join(F.broadcast(corrections), "pid", "left")
+    return (samples.join(dimension(corrections), "pid", "left")
             .withColumn("value", F.coalesce(fixed_value, F.col("value")))
             .drop("div", "mul", "ofs"))
 
@@ -95,6 +95,11 @@ def windowed_samples(samples: DataFrame, anchors=fv.ENGINE_ANCHORS, corrections=
     return heads, windows, clipped
 
 
+def chunk_of(rows: DataFrame, chunk_rows: int = o.CHUNK_ROWS):
+    """The chunk rows were joined on already, so its exchange is used again."""
+    return F.col("chunk") if "chunk" in rows.columns else o.chunk_by_sequence("seq", chunk_rows)
+
+
 def gps_fixes(samples: DataFrame) -> DataFrame:
     """Rows with a position (0, 0 means "no fix")."""
     return samples.filter((F.col("lat") != 0.0) | (F.col("lon") != 0.0))
@@ -102,7 +107,7 @@ def gps_fixes(samples: DataFrame) -> DataFrame:
 
 def gps_dedup(fixes: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Drop fixes equal to the fix just before them in the trip."""
-    scanned = o.ordered_scan(fixes, ["trip_id"], ["seq"], o.chunk_by_sequence("seq", chunk_rows),
+    scanned = o.ordered_scan(fixes, ["trip_id"], ["seq"], chunk_of(fixes, chunk_rows),
                              prev_lat=o.previous("lat"), prev_lon=o.previous("lon"))
     same = F.col("prev_lat").eqNullSafe(F.col("lat")) & F.col("prev_lon").eqNullSafe(F.col("lon"))
     return scanned.filter(~same).drop("prev_lat", "prev_lon")
@@ -110,10 +115,9 @@ def gps_dedup(fixes: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
 
 def tracks(fixes: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Long form of the GPS track: (trip_id, idx from 0, seq, sec, lat, lon)."""
-    kept = gps_dedup(fixes, chunk_rows).select("trip_id", "seq", "sec", "lat", "lon")
-    return (o.ordered_scan(kept, ["trip_id"], ["seq"], o.chunk_by_sequence("seq", chunk_rows),
-                           idx=o.position())
-            .withColumn("idx", F.col("idx") - 1))
+    kept = gps_dedup(fixes, chunk_rows)
+    return (o.ordered_scan(kept, ["trip_id"], ["seq"], chunk_of(kept, chunk_rows), idx=o.position())
+            .select("trip_id", (F.col("idx") - 1).alias("idx"), "seq", "sec", "lat", "lon"))
 
 
 def gps_bbox(fixes: DataFrame) -> DataFrame:
@@ -134,6 +138,7 @@ def values_at_time(samples: DataFrame, cursors: DataFrame) -> DataFrame:
 
     ``cursors`` is (trip_id, cursor_sec), one row per trip.
     """
-    return (samples.join(cursors, "trip_id").filter(F.col("sec") <= F.col("cursor_sec"))
+    return (salted_join(samples, cursors, ["trip_id"], "seq")
+            .filter(F.col("sec") <= F.col("cursor_sec"))
             .groupBy("trip_id", "pid")
             .agg(F.max_by("value", "seq").alias("value"), F.max_by("sec", "seq").alias("sec")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tripweave.functions import day_month, epoch_seconds, py_round, ratio
 from tripweave.operators import ordered as o
+from tripweave.operators.joins import salted_join
 from tripweave.operators.trips import is_sensor, plausible_economy
 
 TRIP_CHUNK_S = 30 * 86_400.0
@@ -90,14 +91,14 @@ def best_trip(trips: DataFrame) -> DataFrame:
 def cost_stats(trips: DataFrame, minimum: int = 4, days: int = 30) -> DataFrame:
     """Cost per 100 km, total, and the last 30 days relative to the newest trip.
 
-    The newest start is a per-vehicle aggregate joined back, not a window over
-    all trips of the vehicle.
+    The newest start is a per-vehicle aggregate joined back with salt, not a window
+    over all trips of the vehicle.
     """
     costed = trips.filter((F.col("cost") != 0) & (F.col("distance_km") != 0))
     last = costed.groupBy("vehicle_id").agg(F.max("start").alias("last_start"))
     age = F.floor((epoch_seconds("last_start") - epoch_seconds("start")) / 86400.0)
     recent = F.coalesce(age <= days, F.lit(False))
-    return (costed.join(last, "vehicle_id").groupBy("vehicle_id").agg(
+    return (salted_join(costed, last, ["vehicle_id"], "trip_id").groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total_cost"),
         F.sum("distance_km").alias("total_km"),
         (ratio(F.sum("cost"), F.sum("distance_km")) * 100).alias("cost_per_100km"),
@@ -155,7 +156,7 @@ def iqr_outlier_filter(rows: DataFrame, value: str, fence: float = 3.0) -> DataF
     iqr = F.col("q3") - F.col("q1")
     apply = (F.col("rows") >= 6) & (F.col("n") >= 4) & (iqr != 0)
     inside = finite & v.between(F.col("q1") - fence * iqr, F.col("q3") + fence * iqr)
-    return rows.join(fences, "vehicle_id", "left").withColumn(
+    return salted_join(rows, fences, ["vehicle_id"], value, "left").withColumn(
         "filtered", F.when(F.coalesce(apply, F.lit(False)), F.when(inside, v)).otherwise(v)
     ).drop("q1", "q3", "n", "rows")
 

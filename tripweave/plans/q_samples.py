@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tripweave.functions import color_ramp, sensor_group, short_name, slugify
 from tripweave.operators import dpf, geo, pid_stats as ps, samples as sm, trends as tr
 from tripweave.operators import trip_fields as tf
+from tripweave.operators.joins import dimension
 from tripweave.plans import views as v
 from tripweave.plans.registry import query, r6, s6
 from tripweave.plans.views import add_view, dec
@@ -271,10 +272,14 @@ def downsample_n(spark, d):
     return ps.downsample(rows, 5).select("trip_id", "pid", "point", "value")
 
 
-@query("downsample_map", None)
+@query("downsample_map", """
+SELECT user_id AS trip_id, event_type AS slug, array_to_string(list(value ORDER BY event_id), ' ') AS values
+FROM events GROUP BY ALL""")
 def downsample_map(spark, d):
     rows = v.samples(spark, d).withColumn("trip_id", F.col("vehicle_id")).withColumn("slug", F.col("pid"))
-    return ps.series_map(ps.downsample(rows, 60))
+    maps = ps.series_map(ps.downsample(rows, 200))
+    return maps.select("trip_id", F.explode("series").alias("slug", "values")).select(
+        "trip_id", "slug", F.array_join(F.col("values").cast("array<string>"), " ").alias("values"))
 
 
 def _catalog(spark, d):
@@ -359,7 +364,7 @@ FROM samples_v LEFT JOIN fix_dim_v USING (pid) GROUP BY ALL""", ("samples_v", "f
 def correction_lookup(spark, d):
     dim = spark.createDataFrame(CORRECTIONS, "pid string, div double, mul double, ofs double")
     counts = v.samples(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("samples"))
-    return counts.join(F.broadcast(dim), "pid", "left").select(
+    return counts.join(dimension(dim), "pid", "left").select(
         "pid", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("div", 1.0), ("mul", 1.0), ("ofs", 0.0))],
         "samples")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tripweave import fixed_values as fv
 from tripweave.functions import (average_speed, day_month, dst_seconds, end_time, fixed,
                                  km_per_l, l_per_100, local_to_utc, start_of_trip_id,
-                                 local_start_of_file, trip_cost, trip_id_of_file, vin_suffix)
-from tripweave.operators import quality as ql, trends as tr, trips as op
+                                 local_start_of_file, strip_zone, trip_cost, trip_id_of_file,
+                                 vin_suffix)
+from tripweave.operators import geo, ordered as o, quality as ql, trends as tr, trips as op
+from tripweave.operators.rules import message
 from tripweave.plans import views as v
 from tripweave.plans.registry import query, r6, s6
 from tripweave.plans.views import add_view, dec
@@ -498,6 +500,60 @@ def trip_scalars(spark, d):
         day_month("start").alias("day_month"), fixed("distance_km", 1).alias("shown"))
 
 
+_SCALARS = {
+    "avg_speed": (s6("distance_km / (duration_min * 60 / 3600e0)", "avg_speed"),
+                  lambda: r6(average_speed("distance_km", F.col("duration_min") * 60), "avg_speed")),
+    "l_per_100": (s6("CASE WHEN fuel_l > 0 THEN fuel_l / distance_km * 1e2 END", "l100"),
+                  lambda: r6(l_per_100("fuel_l", "distance_km"), "l100")),
+    "km_per_l": (s6("CASE WHEN fuel_l > 0 THEN distance_km / fuel_l END", "kml"),
+                 lambda: r6(km_per_l("distance_km", "fuel_l"), "kml")),
+    "trip_cost": (s6("nullif(fuel_l, 0) * price_fuel", "cost"),
+                  lambda: r6(trip_cost("fuel_l", "price_fuel"), "cost")),
+    "vin_suffix": ("right(vin, 6) AS vin6", lambda: vin_suffix("vin").alias("vin6")),
+    "fmt_day_month": (f"concat(day(start), ' ', {_MONTHS}[month(start)]) AS day_month",
+                      lambda: day_month("start").alias("day_month")),
+    "insight_text": ("printf('Tensione di spunto %.2f V', distance_km) AS text",
+                     lambda: message(fv.VEHICLE_MESSAGES["battery_bad"][0], F.col("distance_km")).alias("text")),
+    "strip_z": ("strftime(start, '%Y-%m-%dT%H:%M:%S') AS local",
+                lambda: strip_zone(F.concat(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("local")),
+}
+
+
+def _scalar(name, sql, make):
+    @query(name, f"SELECT leg_id, {sql} FROM legs_v", ("legs_v",))
+    def run(spark, d):
+        return v.legs(spark, d).select("leg_id", make())
+
+    return run
+
+
+for _name, (_sql, _make) in _SCALARS.items():
+    _scalar(_name, _sql, _make)
+
+
+@query("hydrate_tracks", """
+SELECT trip_id, row_number() OVER (PARTITION BY trip_id ORDER BY leg_id) - 1 AS idx, lat, t.distance_km, t.filename
+FROM (SELECT leg_id // 10 AS trip_id, leg_id, distance_km AS lat FROM legs_v) p JOIN trips_v t USING (trip_id)""",
+       ("legs_v", "trips_v"))
+def hydrate_tracks(spark, d):
+    legs = v.legs(spark, d).select(F.expr("leg_id div 10").alias("trip_id"), "leg_id",
+                                   F.col("distance_km").alias("lat"))
+    points = o.ordered_scan(legs, ["trip_id"], ["leg_id"], o.chunk_by_sequence("leg_id"), pos=o.position())
+    points = points.select("trip_id", (F.col("pos") - 1).alias("idx"), "lat")
+    return geo.hydrate_tracks(v.trips(spark, d).select("trip_id", "distance_km", "filename"), points)
+
+
+@query("trip_id_from_file", """
+SELECT trip_id, concat('obd-', strftime(start, '%Y-%m-%d_%H-%M-%S')) AS id FROM trips_v""", ("trips_v",))
+def trip_id_from_file(spark, d):
+    return v.trips(spark, d).select("trip_id", trip_id_of_file(F.expr(_FILE)).alias("id"))
+
+
+@query("id_to_start", "SELECT trip_id, start FROM trips_v", ("trips_v",))
+def id_to_start(spark, d):
+    return v.trips(spark, d).select("trip_id", start_of_trip_id(trip_id_of_file("filename")).alias("start"))
+
+
 _FILE = "concat('/data/', CASE WHEN trip_id % 2 = 0 THEN filename ELSE replace(filename, ' ', '_') END)"
 
 

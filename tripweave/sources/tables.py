@@ -60,14 +60,3 @@ def write_json(df: DataFrame, path: str) -> None:
 def tracks_table(trips: DataFrame) -> DataFrame:
     """(trip_id, track) of trips that have one; only these two columns are read."""
     return trips.select("trip_id", "track").filter(F.size("track") > 0)
-
-
-def nested_tracks(points: DataFrame) -> DataFrame:
-    """Nested track per trip, for point lookups and small exports.
-
-    The library computes on the long form; a trip's points are nested only when a
-    caller asks for the one-row shape.
-    """
-    return points.groupBy("trip_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("idx", "lat", "lon"))),
-        lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("track"))
