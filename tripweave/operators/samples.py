@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave import fixed_values as fv
 from tripweave.functions import swap_correct
@@ -16,43 +16,57 @@ from tripweave.operators import ordered as o
 from tripweave.operators.joins import dimension, salted_join
 
 
-def sensor_heads(samples: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
-    """Small extract per (trip, sensor, unit, chunk): time bounds and order bounds.
+def anchor_bounds(samples: DataFrame, anchors: Sequence[str] = fv.ENGINE_ANCHORS,
+                  chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+    """Per (trip, chunk): time bounds of every anchor sensor and of all rows.
 
-    One partial aggregation over four columns; window, unit and first-appearance
-    facts are all derived from it instead of scanning the samples again.
+    One partial aggregation over four columns.  Both the trip windows and the
+    per-chunk windows are derived from it, over the same exchange.
     """
-    return (samples
-            .withColumn("chunk", o.chunk_by_sequence("seq", chunk_rows))
-            .groupBy("trip_id", "pid", "unit", "chunk")
-            .agg(F.min("sec").alias("min_sec"), F.max("sec").alias("max_sec"),
-                 F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"),
-                 F.count(F.lit(1)).alias("samples")))
+    aggs = [F.min("sec").alias("lo"), F.max("sec").alias("hi")]
+    for i, anchor in enumerate(anchors):
+        at = F.when(F.col("pid") == anchor, F.col("sec"))
+        aggs += [F.min(at).alias(f"lo{i}"), F.max(at).alias(f"hi{i}")]
+    return (samples.withColumn("chunk", o.chunk_by_sequence("seq", chunk_rows))
+            .groupBy("trip_id", "chunk").agg(*aggs))
 
 
-def engine_window(heads: DataFrame, anchors: Sequence[str] = fv.ENGINE_ANCHORS) -> DataFrame:
-    """Per trip: time bounds of the first anchor sensor present, else of all rows."""
-    aggs = [F.min("min_sec").alias("_lo"), F.max("max_sec").alias("_hi")]
-    for i, anchor in enumerate(anchors):
-        hit = F.col("pid") == anchor
-        aggs.append(F.min(F.when(hit, F.col("min_sec"))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when(hit, F.col("max_sec"))).alias(f"_hi{i}"))
+def _first_present(anchors: Sequence[str], lowest, highest) -> list:
     n = range(len(anchors))
-    return heads.groupBy("trip_id").agg(*aggs).select(
-        "trip_id",
-        F.coalesce(*[F.col(f"_lo{i}") for i in n], "_lo").alias("t_start"),
-        F.coalesce(*[F.col(f"_hi{i}") for i in n], "_hi").alias("t_end"),
-        F.coalesce(*[F.when(F.col(f"_lo{i}").isNotNull(), F.lit(a)) for i, a in enumerate(anchors)],
-                   F.lit("")).alias("anchor"))
+    return [F.coalesce(*[lowest(f"lo{i}") for i in n], lowest("lo")).alias("t_start"),
+            F.coalesce(*[highest(f"hi{i}") for i in n], highest("hi")).alias("t_end"),
+            F.coalesce(*[F.when(lowest(f"lo{i}").isNotNull(), F.lit(a)) for i, a in enumerate(anchors)],
+                       F.lit("")).alias("anchor")]
+
+
+def engine_window(bounds: DataFrame, anchors: Sequence[str] = fv.ENGINE_ANCHORS) -> DataFrame:
+    """Per trip: time bounds of the first anchor sensor present, else of all rows."""
+    return bounds.groupBy("trip_id").agg(*_first_present(anchors, F.min, F.max))
 
 
-def sensor_facts(heads: DataFrame) -> DataFrame:
-    """Per (trip, sensor) over the whole file: first appearance and last unit seen."""
-    return heads.groupBy("trip_id", "pid").agg(
+def chunk_windows(bounds: DataFrame, anchors: Sequence[str] = fv.ENGINE_ANCHORS) -> DataFrame:
+    """The trip's window on each of its chunks.
+
+    A trip has one row per chunk here, so its rows in this window are fewer than
+    its samples by the chunk length.
+    """
+    w = Window.partitionBy("trip_id")
+    start, end, _ = _first_present(anchors, lambda c: F.min(c).over(w), lambda c: F.max(c).over(w))
+    return bounds.select("trip_id", "chunk", start, end)
+
+
+def sensor_facts(samples: DataFrame) -> DataFrame:
+    """Per (trip, sensor) over the whole file: first appearance and last unit seen.
+
+    Units are grouped first, so the large step is a hash aggregation on numbers.
+    """
+    units = samples.groupBy("trip_id", "pid", "unit").agg(
+        F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+    return units.groupBy("trip_id", "pid").agg(
         F.min("min_seq").alias("first_seq"), F.max_by("unit", "max_seq").alias("unit"))
 
 
-def clip_to_window(samples: DataFrame, heads: DataFrame, windows: DataFrame,
+def clip_to_window(samples: DataFrame, windows: DataFrame,
                    chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Samples inside their trip's window (both ends included).
 
@@ -60,10 +74,8 @@ def clip_to_window(samples: DataFrame, heads: DataFrame, windows: DataFrame,
     over as many tasks as it has chunks, and the exchange serves every later
     (trip, chunk) window.
     """
-    bounds = (heads.select("trip_id", "chunk").distinct()
-              .join(windows.select("trip_id", "t_start", "t_end"), "trip_id"))
     return (samples.withColumn("chunk", o.chunk_by_sequence("seq", chunk_rows))
-            .join(bounds, ["trip_id", "chunk"])
+            .join(windows, ["trip_id", "chunk"])
             .filter(F.col("sec").between(F.col("t_start"), F.col("t_end"))))
 
 
@@ -86,13 +98,12 @@ def correct_values(samples: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def windowed_samples(samples: DataFrame, anchors=fv.ENGINE_ANCHORS, corrections=None,
                      chunk_rows: int = o.CHUNK_ROWS):
-    """(heads, windows, clipped and corrected samples)."""
-    heads = sensor_heads(samples, chunk_rows)
-    windows = engine_window(heads, anchors)
-    clipped = clip_to_window(samples, heads, windows, chunk_rows)
+    """(trip windows, clipped and corrected samples)."""
+    bounds = anchor_bounds(samples, anchors, chunk_rows)
+    clipped = clip_to_window(samples, chunk_windows(bounds, anchors), chunk_rows)
     if corrections is not None:
         clipped = correct_values(clipped, corrections)
-    return heads, windows, clipped
+    return engine_window(bounds, anchors), clipped
 
 
 def chunk_of(rows: DataFrame, chunk_rows: int = o.CHUNK_ROWS):

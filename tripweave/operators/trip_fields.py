@@ -98,13 +98,17 @@ def trip_totals(windowed: DataFrame, windows: DataFrame, fields=fv.TRIP_FIELDS,
     areas = integrate(windowed, [fuel_pid, speed_pid]).groupBy("trip_id").agg(
         F.max(F.when(F.col("pid") == fuel_pid, F.col("integral"))).alias("fuel_l"),
         F.max(F.when(F.col("pid") == speed_pid, F.col("integral"))).alias("gps_km"))
-    odometer = odometer_delta(windowed, odometer_pid)
+    # the odometer's ends come out of the same aggregation as the curated fields
+    ends = [("_odo_first", "first", [odometer_pid]), ("_odo_last", "last", [odometer_pid])]
+    delta = F.col("_odo_last") - F.col("_odo_first")
+    curated = (curated_fields(windowed, [*fields, *ends])
+               .withColumn("odo_delta_km", F.when((delta > 0) & (delta < MAX_ODOMETER_KM), delta))
+               .drop("_odo_first", "_odo_last"))
 
     def r(c, digits):
         return py_round(c, digits) if rounded else F.col(c)
 
-    joined = (windows.join(curated_fields(windowed, fields), "trip_id", "left")
-              .join(areas, "trip_id", "left").join(odometer, "trip_id", "left")
+    joined = (windows.join(curated, "trip_id", "left").join(areas, "trip_id", "left")
               .withColumn("fuel_l", r("fuel_l", 3)).withColumn("gps_km", r("gps_km", 2))
               .withColumn("odo_delta_km", r("odo_delta_km", 2)))
     out = short_trip_filter(resolve_distance(joined), minimum=minimum_km)
@@ -132,11 +136,12 @@ def trip_summaries(samples: DataFrame, files: DataFrame, spark) -> DataFrame:
     """
     from tripweave.operators.dpf import DpfRules, dpf_state
 
-    heads, windows, windowed = windowed_samples(samples, corrections=correction_table(spark))
+    windows, windowed = windowed_samples(samples, corrections=correction_table(spark))
     trips = round_fields(trip_totals(windowed, windows))
     states = dpf_state(windowed, DpfRules())
     trips = trips.join(states.select("trip_id", "dpf_state", "dpf_regen_active"), "trip_id", "left")
-    counts = heads.groupBy("trip_id").agg(F.count_distinct("pid").alias("pid_count"))
+    counts = (samples.groupBy("trip_id", "pid").agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("trip_id").agg(F.count(F.lit(1)).alias("pid_count")))
     return (files.join(trips, "trip_id").join(counts, "trip_id")
             .withColumn("source", F.lit(fv.SENSOR_STORED))
             .withColumn("end", end_time("start", "duration_min"))

@@ -37,18 +37,18 @@ SELECT trip_id, t_start, t_end,
        CASE WHEN bool_or(pid = 'view') THEN 'view' WHEN bool_or(pid = 'click') THEN 'click' ELSE '' END AS anchor
 FROM samples_v JOIN win_v USING (trip_id) GROUP BY ALL""", ("win_v",))
 def engine_window(spark, d):
-    return sm.engine_window(sm.sensor_heads(v.samples(spark, d)), v.ANCHORS)
+    return sm.engine_window(sm.anchor_bounds(v.samples(spark, d), v.ANCHORS), v.ANCHORS)
 
 
 @query("window_clip", "SELECT trip_id, seq, pid, sec - t_start AS rel FROM clip_v", ("clip_v",))
 def window_clip(spark, d):
-    return v.windowed(spark, d)[2].select("trip_id", "seq", "pid",
+    return v.windowed(spark, d)[1].select("trip_id", "seq", "pid",
                                           (F.col("sec") - F.col("t_start")).alias("rel"))
 
 
 @query("gps_fix_filter", "SELECT trip_id, seq, lat, lon FROM clip_v WHERE lat <> 0 OR lon <> 0", ("clip_v",))
 def gps_fix_filter(spark, d):
-    return sm.gps_fixes(v.windowed(spark, d)[2]).select("trip_id", "seq", "lat", "lon")
+    return sm.gps_fixes(v.windowed(spark, d)[1]).select("trip_id", "seq", "lat", "lon")
 
 
 add_view("fix_v", ["clip_v"], "SELECT * FROM clip_v WHERE lat <> 0 OR lon <> 0")
@@ -60,7 +60,7 @@ WHERE plat IS NULL OR plat <> lat OR plon <> lon""")
 
 
 def _fixes(spark, d):
-    return sm.gps_fixes(v.windowed(spark, d)[2])
+    return sm.gps_fixes(v.windowed(spark, d)[1])
 
 
 @query("gps_dedup", "SELECT trip_id, seq, lat, lon FROM track_v", ("track_v",))
@@ -95,7 +95,7 @@ add_view("fields_v", ["clip_v"], "SELECT trip_id, " + ", ".join(
 @query("trip_curated_aggs", "SELECT trip_id, " + ", ".join(s6(f[0]) for f in FIELDS) + " FROM fields_v",
        ("fields_v",))
 def trip_curated_aggs(spark, d):
-    out = tf.curated_fields(v.windowed(spark, d)[2], FIELDS)
+    out = tf.curated_fields(v.windowed(spark, d)[1], FIELDS)
     return out.select("trip_id", *[r6(f[0]) for f in FIELDS])
 
 
@@ -108,7 +108,7 @@ FROM (SELECT trip_id, pid, (sec - lag(sec) OVER w) / 3600e0 * (value + lag(value
 
 @query("integrate_trapezoid", f"SELECT trip_id, pid, samples, {s6('integral')} FROM area_v", ("area_v",))
 def integrate_trapezoid(spark, d):
-    out = tf.integrate(v.windowed(spark, d)[2], ["purchase", "click"])
+    out = tf.integrate(v.windowed(spark, d)[1], ["purchase", "click"])
     return out.select("trip_id", "pid", "samples", r6("integral"))
 
 
@@ -120,7 +120,7 @@ FROM (SELECT trip_id, arg_min(value, seq) AS a, arg_max(value, seq) AS b, count(
 
 @query("odometer_delta", f"SELECT trip_id, {s6('odo_delta_km')} FROM odo_v", ("odo_v",))
 def odometer_delta(spark, d):
-    return tf.odometer_delta(v.windowed(spark, d)[2], "signup").select("trip_id", r6("odo_delta_km"))
+    return tf.odometer_delta(v.windowed(spark, d)[1], "signup").select("trip_id", r6("odo_delta_km"))
 
 
 add_view("dist_v", ["win_v", "fields_v", "area_v", "odo_v"], """
@@ -136,7 +136,7 @@ LEFT JOIN odo_v USING (trip_id)""")
 
 
 def _totals(spark, d):
-    _, windows, clipped = v.windowed(spark, d)
+    windows, clipped = v.windowed(spark, d)
     odo = tf.odometer_delta(clipped, "signup")
     areas = tf.integrate(clipped, ["purchase", "click"]).groupBy("trip_id").agg(
         F.max(F.when(F.col("pid") == "purchase", F.col("integral"))).alias("fuel_l"),
@@ -163,7 +163,7 @@ SELECT trip_id, {s6('(t_end - t_start) / 60e0', 'duration_min')}, {s6('distance_
        {s6('odometer_km')}, {s6('coolant_max_c')}
 FROM dist_v WHERE coalesce(distance_km, 0) >= 1""", ("dist_v",))
 def trip_summary(spark, d):
-    _, windows, clipped = v.windowed(spark, d)
+    windows, clipped = v.windowed(spark, d)
     out = tf.trip_totals(clipped, windows, FIELDS, "purchase", "click", "signup", rounded=False)
     return out.select("trip_id", r6("duration_min"), r6("distance_km"), "distance_source", r6("fuel_l"),
                       r6("avg_speed_kmh"), r6("max_speed_kmh"), r6("avg_rpm"), r6("air_temp_c"),
@@ -177,8 +177,8 @@ def _slugs(spark):
 
 
 def _stats(spark, d, rounded=False):
-    heads, _, clipped = v.windowed(spark, d)
-    return ps.pid_stats(clipped, sm.sensor_facts(heads), _slugs(spark), rounded)
+    clipped = v.windowed(spark, d)[1]
+    return ps.pid_stats(clipped, sm.sensor_facts(v.samples(spark, d)), _slugs(spark), rounded)
 
 
 add_view("slug_v", ["samples_v", "clip_v"], """
@@ -232,7 +232,7 @@ def pid_stats_rounded(spark, d):
 
 @query("pid_mode", "SELECT trip_id, pid, mode FROM mode_v", ("mode_v",))
 def pid_mode(spark, d):
-    return ps.mode_of_groups(ps.value_groups(v.windowed(spark, d)[2]))
+    return ps.mode_of_groups(ps.value_groups(v.windowed(spark, d)[1]))
 
 
 @query("pid_kind", "SELECT trip_id, slug, kind FROM stats_v", ("stats_v",))
@@ -248,14 +248,14 @@ def pid_useful(spark, d):
 @query("slug_lookup", "SELECT DISTINCT trip_id, pid, coalesce(CASE pid WHEN 'view' THEN 'page' "
        "WHEN 'click' THEN 'page' WHEN 'purchase' THEN 'buy' END, pid) AS slug FROM samples_v", ("samples_v",))
 def slug_lookup(spark, d):
-    facts = sm.sensor_facts(sm.sensor_heads(v.samples(spark, d)))
+    facts = sm.sensor_facts(v.samples(spark, d))
     return ps.with_slug(facts, _slugs(spark)).select("trip_id", "pid", "slug")
 
 
 @query("slug_first_wins", "SELECT trip_id, slug, pid FROM slug_v", ("slug_v",))
 def slug_first_wins(spark, d):
-    heads, _, clipped = v.windowed(spark, d)
-    present = sm.sensor_facts(heads).join(clipped.select("trip_id", "pid").distinct(), ["trip_id", "pid"],
+    clipped = v.windowed(spark, d)[1]
+    present = sm.sensor_facts(v.samples(spark, d)).join(clipped.select("trip_id", "pid").distinct(), ["trip_id", "pid"],
                                           "left_semi")
     return ps.first_per_slug(ps.with_slug(present, _slugs(spark))).select("trip_id", "slug", "pid")
 
@@ -421,12 +421,12 @@ FROM (SELECT *, requested AND enabled AND thermal AS active FROM (
 
 @query("dpf_state", _state_sql(RULES), ("clip_v", "runs_v"))
 def dpf_state(spark, d):
-    return dpf.dpf_state(v.windowed(spark, d)[2], RULES).select("trip_id", "dpf_state", "dpf_regen_active")
+    return dpf.dpf_state(v.windowed(spark, d)[1], RULES).select("trip_id", "dpf_state", "dpf_regen_active")
 
 
 @query("dpf_state_design", _state_sql(DESIGN), ("clip_v", "runs_v"))
 def dpf_state_design(spark, d):
-    return dpf.dpf_state(v.windowed(spark, d)[2], DESIGN).select("trip_id", "dpf_state", "dpf_regen_active")
+    return dpf.dpf_state(v.windowed(spark, d)[1], DESIGN).select("trip_id", "dpf_state", "dpf_regen_active")
 
 
 # -- map -------------------------------------------------------------------------
@@ -444,7 +444,7 @@ SELECT trip_id, pid, arg_max(value, seq) AS value, arg_max(sec, seq) AS sec
 FROM clip_v JOIN cursor_v USING (trip_id) WHERE sec <= cursor_sec GROUP BY trip_id, pid""",
        ("clip_v", "cursor_v"))
 def values_at_time(spark, d):
-    _, windows, clipped = v.windowed(spark, d)
+    windows, clipped = v.windowed(spark, d)
     cursors = windows.select("trip_id", (F.col("t_start") + (F.col("t_end") - F.col("t_start")) * 0.5)
                              .alias("cursor_sec"))
     return sm.values_at_time(clipped, cursors)
@@ -461,7 +461,7 @@ FROM (SELECT k.*, b.sec AS t0, b.value AS v0, a.sec AS t1, a.value AS v1 FROM tr
 
 
 def _valued(spark, d):
-    clipped = v.windowed(spark, d)[2]
+    clipped = v.windowed(spark, d)[1]
     track = sm.tracks(sm.gps_fixes(clipped))
     series = clipped.filter("pid = 'click'").select("trip_id", "seq", "sec", "value")
     return geo.pid_at_gps(track, series, width=86_400.0)
@@ -513,11 +513,11 @@ SELECT m.trip_id, category, m.seq, sec, value FROM marks_v m JOIN samples_v s US
 
 @query("trip_events", "SELECT * FROM trip_events_v", ("trip_events_v",))
 def trip_events(spark, d):
-    return geo.trip_events(v.windowed(spark, d)[2], EVENTS)
+    return geo.trip_events(v.windowed(spark, d)[1], EVENTS)
 
 
 def _located(spark, d):
-    clipped = v.windowed(spark, d)[2]
+    clipped = v.windowed(spark, d)[1]
     marks = geo.trip_events(clipped, EVENTS).withColumn("n", F.concat("category", F.lit("/"), F.col("seq")))
     fixes = sm.gps_fixes(clipped).select("trip_id", F.col("seq").cast("string").alias("seq"), "sec", "lat", "lon")
     return geo.as_of_fix(marks, fixes, width=86_400.0)

@@ -89,7 +89,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def windowed(spark: SparkSession, d: str, corrections=None):
-    """(heads, windows, clipped samples)."""
+    """(trip windows, clipped samples)."""
     return windowed_samples(samples(spark, d), ANCHORS, corrections, CHUNK_ROWS)
 
 
