@@ -30,16 +30,17 @@ def _orderable(df: DataFrame, c: str) -> bool:
     return "map<" not in dict(df.dtypes)[c]
 
 
-def write_samples(samples: DataFrame, table: str, buckets: int = 256,
-                  chunk_rows: int = o.CHUNK_ROWS, mode: str = "append") -> None:
+def write_samples(samples: DataFrame, table: str, buckets: int = 256, chunk_rows: int = o.CHUNK_ROWS,
+                  mode: str = "append", path: str | None = None) -> None:
     """Store samples bucketed by (trip, chunk) and sorted by (trip, order).
 
     Window joins then read matching buckets without a shuffle, a hot trip is
     spread over its chunks, and the sensor filter prunes row groups.
     """
-    (samples.withColumn("chunk", o.chunk_by_sequence("seq", chunk_rows))
-     .write.mode(mode).format("parquet").bucketBy(buckets, "trip_id", "chunk")
-     .sortBy("trip_id", "pid", "seq").saveAsTable(table))
+    writer = (samples.withColumn("chunk", o.chunk_by_sequence("seq", chunk_rows))
+              .write.mode(mode).format("parquet").bucketBy(buckets, "trip_id", "chunk")
+              .sortBy("trip_id", "pid", "seq"))
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_trips(trips: DataFrame, path: str) -> None:
