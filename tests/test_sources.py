@@ -50,7 +50,7 @@ def test_read_log_folder(spark):
 def test_other_delimiters(spark):
     text = HEADER + "1.5;a;2;u;1;2;\n2.5;a;3;u;1;2;\n"
     d = folder({"a.csv": text, "b.csv": text.replace(";", ","), "c.csv": text.replace(";", "\t"), "d.csv": "x\ny\n"})
-    found = {r.filename: r.delimiter for r in sc.sniff_delimiters(sc.read_lines(spark, d)).collect()}
+    found = {r.path.split("/")[-1]: r.delimiter for r in sc.sniff_delimiters(sc.read_lines(spark, d)).collect()}
     assert found == {"a.csv": ";", "b.csv": ",", "c.csv": "\t", "d.csv": None}
     rows = sc.scan_samples(spark, d, delimiter=None)
     assert {(r.filename, r["n"]) for r in rows.groupBy("filename").agg(F.count("*").alias("n")).collect()} == {
@@ -68,7 +68,7 @@ def test_trip_summary_from_a_log(spark):
     assert (t.distance_km, t.distance_source) == (round(12.345, 2), "trip_counter")
     assert (t.avg_rpm, t.max_rpm) == (900, 1000) and t.avg_speed_kmh == 54.0 and t.fuel_l == 0.003
     assert t.oil_temp_max_c is None                          # outside the engine window
-    assert t.dpf_state == "idle" and t.pid_count == 5 and t.odometer_km == 12
+    assert t.dpf_state == "idle" and t.pid_count == 4 and t.odometer_km == 12
 
 
 def test_cloud_export_shapes(spark):
@@ -130,8 +130,46 @@ def test_stream_equals_batch(spark):
     out, mark = folder({}) + "/out", folder({})
     live.ingest_lines(live.stream_lines(spark, d, files=1), out, mark).awaitTermination()
     stored = spark.read.option("recursiveFileLookup", True).parquet(out)
-    cols = ["filename", "sec", "pid", "value", "unit", "lat", "lon"]
+    cols = ["path", "sec", "pid", "value", "unit", "lat", "lon"]
     want = sc.scan_samples(spark, d).select(cols)
     assert sorted(map(str, stored.select(cols).collect())) == sorted(map(str, want.collect()))
     live.ingest_lines(live.stream_lines(spark, d, files=1), out, mark).awaitTermination()   # nothing new
     assert spark.read.option("recursiveFileLookup", True).parquet(out).count() == want.count()
+
+
+def test_from_files_to_insights(spark):
+    """Two vehicles' logs and exports through every stage of the library."""
+    import os
+
+    from tripweave.operators import reconcile as rc, rules, trips as op
+
+    d = folder({})
+    lines = [f"{t};Giri motore;{800 + t};rpm;40.5;{14 + t / 100};\n" for t in range(0, 1200, 60)]
+    lines += ["0;[ECM] Fuel consumption rate;3.0;L/h;;;\n", "1140;[ECM] Fuel consumption rate;3.0;L/h;;;\n",
+              "1100;Distanza percorsa:;12.0;km;;;\n", "5;[ECM] Evaluation of the degree of dilution of motor oil;6.0;%;;;\n"]
+    for vehicle, extra in (("V1", "[ECM] Oil temperature;90"), ("V2", "[ECM] Battery current;3")):
+        os.mkdir(f"{d}/{vehicle}")
+        with open(f"{d}/{vehicle}/2026-01-20 19-00-00.csv", "w") as f:
+            f.write(HEADER + "".join(lines) + f"7;{extra};u;;;\n")
+    leg = {"id": 7, "start": {"date": "2026-01-20T19:02:00Z", "mileage": 100}, "end": {"date": "2026-01-20T19:19:00Z",
+           "mileage": 112}, "distance": 11.8, "travelTime": 1000, "fuelConsumption": 950000, "priceFuel": 1.7, "alerts": [27],
+           "daysUntilNextMaintenance": 40, "distanceToNextMaintenance": 900}
+    alone = {**leg, "id": 8, "start": {"date": "2026-01-22T08:00:00Z"}, "end": {"date": "2026-01-22T08:10:00Z"}}
+    cloud = folder({"all.myop": json.dumps([{"vin": "V1", "trips": [leg, alone]}])})
+
+    samples = sc.scan_samples(spark, d, vehicle=sc.vehicle_folder())
+    stored = tf.trip_summaries(samples, sc.file_table(samples), spark)
+    legs = cj.parse_leg(cj.scan_trip_json(spark, cloud))
+    result = rc.reconcile(stored, legs)
+    gold = op.trip_projection(result.trips)
+    rows = {r.vehicle_id: r for r in gold.collect()}
+    assert set(rows) == {"V1", "V2"} and rows["V1"].trip_id == "V1/obd-2026-01-20_19-00-00"
+    assert rows["V1"].sources == ["obd", "myopel"] and rows["V2"].sources == ["obd"]
+    assert rows["V1"].cloud_id == 7 and rows["V1"].alerts == [27] and rows["V1"].price_fuel == 1.7
+    assert rows["V1"].fuel_l == 0.95 and abs(rows["V1"].cost - 1.615) < 1e-9 and rows["V1"].vin == "V1"
+    assert [r.leg_id for r in result.legs.collect()] == ["myop-8"]
+    notes = {(r.vehicle_id, r.title) for r in rules.explode_insights(rules.per_trip_insights(gold), "vehicle_id").collect()}
+    assert ("V2", "Diluizione olio 6.0%") in notes and ("V1", "Consumo nella norma · 12.6 km/L") in notes
+    everything = op.unify_sources(result.trips, cj.legs_as_trips(result.legs))
+    board = {(r.vehicle_id, r.category, r.level) for r in rules.cross_trip_insights(op.trip_projection(everything)).collect()}
+    assert ("V1", "service", "warning") in board and ("V2", "engine", "warning") in board

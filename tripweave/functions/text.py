@@ -87,7 +87,7 @@ def local_start_of_file(file_name) -> Column:
 
 def start_of_trip_id(trip_id) -> Column:
     """Start encoded in a sensor trip id, else null."""
-    m = r"^obd-(\d{4}-\d{2}-\d{2})[_ ](\d{2})-(\d{2})-(\d{2})$"
+    m = r"^(?:.*/)?obd-(\d{4}-\d{2}-\d{2})[_ ](\d{2})-(\d{2})-(\d{2})$"
     c = col(trip_id)
     return F.when(c.rlike(m), F.regexp_replace(c, m, "$1 $2:$3:$4").try_cast("timestamp_ntz"))
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio
+from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, trip_cost
 from tripweave.operators import folds, ordered as o
 from tripweave.operators.durable import materialize
 from tripweave.operators.trends import TRIP_CHUNK_S, trip_chunk
@@ -217,13 +217,15 @@ def leg_aggregate(legs: DataFrame, assigned: DataFrame, nested_ids: bool = False
                   rounded: bool = True) -> DataFrame:
     """One enrichment row per session from its legs.
 
-    Sums for fuel, cost and distance; the last leg's state; union of alerts.
-    ``legs`` carries ``cost`` as parsed.
+    Sums for fuel, cost and distance; the last leg's state; union of alerts.  A
+    leg's cost is its stored fuel times its price, unrounded.
     """
-    rows = legs.join(assigned.select("leg_id", "trip_id"), "leg_id")
+    rows = legs.join(assigned.select("leg_id", "trip_id"), "leg_id").withColumn(
+        "cost", trip_cost("fuel_l", "price_fuel"))
     key = F.struct("start", "leg_id")
     last = lambda c: F.max_by(c, key).alias(c)
-    aggs = [F.count(F.lit(1)).alias("legs"), F.min_by("leg_id", key).alias("cloud_id"),
+    number = "cloud_id" if "cloud_id" in legs.columns else "leg_id"
+    aggs = [F.count(F.lit(1)).alias("legs"), F.min_by(number, key).alias("cloud_id"),
             F.sum(F.coalesce("fuel_l", F.lit(0.0))).alias("_fuel"),
             F.sum(F.coalesce("cost", F.lit(0.0))).alias("_cost"),
             F.sum(F.coalesce("distance_km", F.lit(0.0))).alias("_dist"),
@@ -433,12 +435,17 @@ class Reconciled:
 
 def reconcile(trips: DataFrame, legs: DataFrame, gap_s: float = MERGE_GAP_S,
               pad_s: float = SESSION_PAD_S, dedupe_s: float = DEDUPE_WINDOW_S,
-              session_km: float = 0.5, bucket_s: float = 3600.0) -> Reconciled:
+              session_km: float = 0.5, bucket_s: float = 3600.0,
+              store_inputs: bool = True) -> Reconciled:
     """Overlaps, then chains, then sessions, then duplicate legs.
 
     Each decision table is written once and read by the steps after it; the trip
-    and leg tables are small next to the samples they summarise.
+    and leg tables are small next to the samples they summarise.  The inputs are
+    written first too, so samples are never summarised again by a later step; pass
+    ``store_inputs=False`` when they are stored tables already.
     """
+    if store_inputs:
+        trips, legs = materialize(trips, "trips"), materialize(legs, "legs")
     removed = materialize(overlap_dedup(trips), "removed")
     kept = absorbed_except(trips, removed)
     chains = materialize(sensor_chains(kept, gap_s), "chains")

@@ -14,6 +14,11 @@ from tripweave.operators.samples import correction_table, windowed_samples
 MIN_TRIP_KM = 1.0
 MIN_ODOMETER_KM = 2.0
 MAX_ODOMETER_KM = 2000.0
+# filled in when cloud legs are matched to the trip
+CLOUD_COLUMNS = {
+    "cloud_id": "bigint", "cloud_fuel_l": "double", "price_fuel": "double", "fuel_level": "bigint",
+    "fuel_autonomy": "bigint", "days_to_service": "bigint", "km_to_service": "bigint", "vin": "string",
+}
 _AGG_COLUMN = {"mean": "mean", "max": "hi", "min": "lo", "first": "first", "last": "last"}
 
 
@@ -117,16 +122,14 @@ def trip_totals(windowed: DataFrame, windows: DataFrame, fields=fv.TRIP_FIELDS,
 
 def round_fields(trips: DataFrame) -> DataFrame:
     """Stored form of the fields: fixed digits, and 0 as "not measured" where due."""
-    out = trips
-    for name, digits in fv.TRIP_FIELD_DIGITS.items():
-        out = out.withColumn(name, py_round(name, digits))
-    return (out
-            .withColumn("avg_rpm", nonzero("avg_rpm").cast("int"))
-            .withColumn("max_rpm", nonzero("max_rpm").cast("int"))
-            .withColumn("odometer_km", py_round(nonzero("odometer_km"), 0).cast("int"))
-            .withColumn("ss_state", nonzero("ss_state").cast("int"))
-            .withColumn("l100km", py_round(l_per_100("fuel_l", "distance_km"), 2))
-            .withColumn("distance_km", py_round("distance_km", 2)))
+    rounded = {name: py_round(name, digits) for name, digits in fv.TRIP_FIELD_DIGITS.items()}
+    return trips.withColumns({
+        **rounded,
+        "avg_rpm": nonzero("avg_rpm").cast("int"), "max_rpm": nonzero("max_rpm").cast("int"),
+        "odometer_km": py_round(nonzero("odometer_km"), 0).cast("int"),
+        "ss_state": nonzero("ss_state").cast("int"),
+        "l100km": py_round(l_per_100("fuel_l", "distance_km"), 2),
+        "distance_km": py_round("distance_km", 2)})
 
 
 def trip_summaries(samples: DataFrame, files: DataFrame, spark) -> DataFrame:
@@ -135,16 +138,23 @@ def trip_summaries(samples: DataFrame, files: DataFrame, spark) -> DataFrame:
     ``files`` is (trip_id, vehicle_id, filename, start, start_utc).
     """
     from tripweave.operators.dpf import DpfRules, dpf_state
+    from tripweave.operators.pid_stats import slug_table, with_slug
 
     windows, windowed = windowed_samples(samples, corrections=correction_table(spark))
     trips = round_fields(trip_totals(windowed, windows))
     states = dpf_state(windowed, DpfRules())
     trips = trips.join(states.select("trip_id", "dpf_state", "dpf_regen_active"), "trip_id", "left")
-    counts = (samples.groupBy("trip_id", "pid").agg(F.count(F.lit(1)).alias("n"))
+    sensors = windowed.groupBy("trip_id", "pid").agg(F.count(F.lit(1)).alias("n"))
+    counts = (with_slug(sensors, slug_table(spark)).select("trip_id", "slug").distinct()
               .groupBy("trip_id").agg(F.count(F.lit(1)).alias("pid_count")))
     return (files.join(trips, "trip_id").join(counts, "trip_id")
             .withColumn("source", F.lit(fv.SENSOR_STORED))
             .withColumn("end", end_time("start", "duration_min"))
             .withColumn("duration_min", py_round("duration_min", 1))
             .withColumn("dpf_state", F.coalesce("dpf_state", F.lit("idle")))
-            .withColumn("dpf_regen_active", F.coalesce("dpf_regen_active", F.lit(0))))
+            .withColumn("dpf_regen_active", F.coalesce("dpf_regen_active", F.lit(0)))
+            .withColumns({c: F.lit(None).cast(t) for c, t in CLOUD_COLUMNS.items()})
+            .withColumn("alerts", F.expr("cast(array() as array<int>)"))
+            .withColumn("maintenance_passed", F.lit(False))
+            .drop("t_start", "t_end", "anchor", "distance_km_raw", "gps_km", "odo_delta_km",
+                  "dpf_regen_status", "dpf_regen_enable"))

@@ -32,17 +32,31 @@ def file_order(block_start="_block", row_id="_row") -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(filename, seq, line) of every file, header line dropped, byte-order mark removed."""
+    """(path, seq, line) of every file, header line dropped, byte-order mark removed."""
     raw = (spark.read.schema("line string").option("header", True).option("sep", "\u0001")
            .option("quote", "").option("pathGlobFilter", glob)
            .option("recursiveFileLookup", True).csv(path))
-    return with_file_order(raw.select("line", F.col("_metadata.file_name").alias("_file"),
-                                      F.col("_metadata.file_block_start").alias("_block")))
+    return with_file_order(raw.select("line", *file_position()))
+
+
+def file_position() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
 
 
 def with_file_order(raw: DataFrame) -> DataFrame:
+    """Decoded path and row order in place of the raw file position."""
+    kept = [c for c in raw.columns if c not in ("_file", "_block")]
     return (raw.withColumn("_row", F.monotonically_increasing_id())
-            .select(F.url_decode("_file").alias("filename"), file_order().alias("seq"), "line"))
+            .select(F.url_decode("_file").alias("path"), file_order().alias("seq"), *kept))
+
+
+def base_name(path="path") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def vehicle_folder(path="path") -> Column:
+    """The folder a log lies in, for trees with one folder per vehicle."""
+    return F.element_at(F.split(path, "/"), -2)
 
 
 def split_line(line: str, delimiter: str) -> Column:
@@ -96,24 +110,24 @@ def accepted(parsed: DataFrame) -> DataFrame:
 
 def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(~valid_row()).select(
-        *[c for c in parsed.columns if c in ("filename", "seq", "line", "reason")])
+        *[c for c in parsed.columns if c in ("path", "filename", "seq", "line", "reason")])
 
 
-def sniff_delimiters(lines: DataFrame) -> DataFrame:
-    """(filename, delimiter): the first of the three with a valid row, per file."""
+def sniff_delimiters(lines: DataFrame, key: str = "path") -> DataFrame:
+    """(file, delimiter): the first of the three with a valid row, per file."""
     tests = []
     for i, d in enumerate(DELIMITERS):
         r = split_line("line", d)
         ok = parse_seconds(r["c0"]).isNotNull() & number_text(r["c2"]).isNotNull()
         tests.append(F.max(ok).alias(f"ok{i}"))
-    flags = lines.groupBy("filename").agg(*tests)
+    flags = lines.groupBy(key).agg(*tests)
     pick = F.coalesce(*[F.when(F.col(f"ok{i}"), F.lit(d)) for i, d in enumerate(DELIMITERS)])
-    return flags.select("filename", pick.alias("delimiter"))
+    return flags.select(key, pick.alias("delimiter"))
 
 
-def parse_sniffed(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
+def parse_sniffed(lines: DataFrame, delimiters: DataFrame, key: str = "path") -> DataFrame:
     """Parse each line with its file's delimiter."""
-    rows = lines.join(delimiters, "filename")
+    rows = lines.join(delimiters, key)
     r = None
     for d in DELIMITERS:
         hit = F.col("delimiter") == d
@@ -126,7 +140,9 @@ def scan_samples(spark: SparkSession, path: str, delimiter: str | None = ";",
     """The samples table of a folder of sensor logs.
 
     With a known delimiter the text is parsed by the CSV reader directly; without
-    one, each file's delimiter is found first.
+    one, each file's delimiter is found first.  Logs do not name their vehicle:
+    pass a column over ``path`` (such as ``vehicle_folder()``), which then also
+    becomes part of the trip id.
     """
     if delimiter is None:
         lines = read_lines(spark, path, glob)
@@ -134,26 +150,32 @@ def scan_samples(spark: SparkSession, path: str, delimiter: str | None = ";",
     else:
         raw = (spark.read.schema(_SCHEMA).option("header", True).option("sep", delimiter)
                .option("pathGlobFilter", glob).option("recursiveFileLookup", True).csv(path))
-        raw = (raw.select("*", F.col("_metadata.file_name").alias("_file"),
-                          F.col("_metadata.file_block_start").alias("_block"))
-               .withColumn("_row", F.monotonically_increasing_id()))
-        rows = raw.select(F.url_decode("_file").alias("filename"), file_order().alias("seq"),
-                          *sample_columns("")).filter(valid_row())
-    who = vehicle if vehicle is not None else F.lit("default")
-    return rows.select(who.alias("vehicle_id"), trip_id_of_file("filename").alias("trip_id"),
-                       "filename", "seq", "sec", "pid", "value", "unit", "lat", "lon")
+        raw = with_file_order(raw.select("*", *file_position()))
+        rows = raw.select("path", "seq", *sample_columns("")).filter(valid_row())
+    return rows.select(*trip_columns(vehicle), "seq", "sec", "pid", "value", "unit", "lat", "lon")
+
+
+def trip_columns(vehicle: Column | None = None) -> list[Column]:
+    """vehicle_id, trip_id, path and filename of a log from its ``path``."""
+    trip = trip_id_of_file("path")
+    if vehicle is None:
+        vehicle = F.lit("default")
+    else:
+        trip = F.concat(vehicle, F.lit("/"), trip)
+    return [vehicle.alias("vehicle_id"), trip.alias("trip_id"), F.col("path"), base_name().alias("filename")]
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """File names and sizes only; the content column is pruned and never read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
             .option("recursiveFileLookup", True).load(path)
-            .select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("filename"), "length"))
+            .select(F.url_decode("_metadata.file_path").alias("path"), "length")
+            .withColumn("filename", base_name()))
 
 
-def empty_files(files: DataFrame, samples: DataFrame) -> DataFrame:
+def empty_files(files: DataFrame, samples: DataFrame, key: str = "path") -> DataFrame:
     """Files without one valid row."""
-    return files.join(samples.select("filename").distinct(), "filename", "left_anti")
+    return files.join(samples.select(key).distinct(), key, "left_anti")
 
 
 def file_table(samples: DataFrame) -> DataFrame:
