@@ -1,7 +1,7 @@
 """Column expressions of the telemetry domain (all JVM-side, no Python UDF)."""
 
 from tripweave.functions.numbers import (  # noqa: F401
-    finite_or_null, fixed, nonzero, py_round, ratio, swap_correct,
+    finite_or_null, fixed, nonzero, py_round, ratio, settled, swap_correct,
 )
 from tripweave.functions.text import (  # noqa: F401
     local_start_of_file, noise, number_text, parse_seconds, sensor_group, short_name, slugify,

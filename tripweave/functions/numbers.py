@@ -58,6 +58,11 @@ def py_round(c, digits: int = 0, inline: bool = False) -> Column:
     return F.transform(F.array(v), lambda x: _round_exact(x, digits))[0]
 
 
+def settled(c) -> Column:
+    """A sum to nine decimals, so the order of adding cannot move what is derived from it."""
+    return py_round(c, 9)
+
+
 def fixed(c, digits: int) -> Column:
     """Text with a fixed number of decimals, rounded as Python formats it."""
     return F.format_string(f"%.{digits}f", py_round(c, digits))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, trip_cost
+from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, settled, trip_cost
 from tripweave.operators import folds, ordered as o
 from tripweave.operators.durable import materialize
 from tripweave.operators.trends import TRIP_CHUNK_S, trip_chunk
@@ -240,7 +240,7 @@ def leg_aggregate(legs: DataFrame, assigned: DataFrame, nested_ids: bool = False
     codes = (rows.select("trip_id", F.explode("alerts").alias("c")).distinct()
              .groupBy("trip_id").agg(F.array_sort(F.collect_list("c")).alias("alerts")))
     out = rows.groupBy("trip_id").agg(*aggs).join(codes, "trip_id", "left")
-    price = F.coalesce(ratio(nonzero("_cost"), nonzero("_fuel")), nonzero("_price"))
+    price = F.coalesce(ratio(nonzero(settled("_cost")), nonzero(settled("_fuel"))), nonzero("_price"))
     r = py_round if rounded else (lambda c, d: c)
     return (out.withColumn("cloud_fuel_l", r(nonzero("_fuel"), 3))
             .withColumn("price_fuel", r(price, 3))

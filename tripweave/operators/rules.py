@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripweave import fixed_values as fv
-from tripweave.functions import fixed, km_per_l_of_trip, nonzero, py_round
+from tripweave.functions import fixed, km_per_l_of_trip, nonzero, settled
 from tripweave.operators import trends as tr
 from tripweave.operators.trips import is_sensor
 
@@ -154,8 +154,7 @@ def insight_summary(insights: DataFrame) -> DataFrame:
 # -- per vehicle ---------------------------------------------------------------
 
 def stable(c: str, kind: str) -> Column:
-    """Sums and means to nine decimals, so the order of adding cannot flip a printed digit."""
-    return py_round(c, 9) if kind == "double" else F.col(c)
+    return settled(c) if kind == "double" else F.col(c)
 
 
 def vehicle_facts(trips: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.functions import day_month, epoch_seconds, py_round, ratio
+from tripweave.functions import day_month, epoch_seconds, py_round, ratio, settled
 from tripweave.operators import ordered as o
 from tripweave.operators.joins import salted_join
 from tripweave.operators.trips import is_sensor, plausible_economy
@@ -101,9 +101,9 @@ def cost_stats(trips: DataFrame, minimum: int = 4, days: int = 30) -> DataFrame:
     return (salted_join(costed, last, ["vehicle_id"], "trip_id").groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total_cost"),
         F.sum("distance_km").alias("total_km"),
-        (ratio(F.sum("cost"), F.sum("distance_km")) * 100).alias("cost_per_100km"),
         F.sum(F.when(recent, F.col("cost")).otherwise(0.0)).alias("recent_cost"),
         F.count_if(recent).alias("recent_n"))
+        .withColumn("cost_per_100km", ratio(settled("total_cost"), settled("total_km")) * 100)
         .filter(F.col("n") >= minimum))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave import fixed_values as fv
 from tripweave.functions import (finite_or_null, km_per_l_of_trip, nonzero, py_round, ratio,
-                                 sources_of)
+                                 settled, sources_of)
 from tripweave.operators.joins import dimension
 
 REGEN = fv.REGEN_STATES
@@ -131,16 +131,16 @@ def peak_egt(trips: DataFrame) -> DataFrame:
 def fleet_kpis(trips: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Totals over all trips, per ``keys`` or global.  Partial + final aggregation."""
     priced = is_cloud() & (F.col("price_fuel") != 0)
-    fuel = F.sum(F.coalesce("fuel_l", F.lit(0.0)))
-    km = F.sum(F.coalesce("distance_km", F.lit(0.0)))
-    return trips.groupBy(*(keys or [])).agg(
-        F.count(F.lit(1)).alias("trips"), km.alias("total_km"),
+    totals = trips.groupBy(*(keys or [])).agg(
+        F.count(F.lit(1)).alias("trips"),
+        F.sum(F.coalesce("distance_km", F.lit(0.0))).alias("total_km"),
         F.sum(F.coalesce("duration_min", F.lit(0.0))).alias("total_min"),
-        fuel.alias("total_fuel_l"),
-        F.coalesce(ratio(km, fuel), F.lit(0.0)).alias("km_per_l"),
+        F.sum(F.coalesce("fuel_l", F.lit(0.0))).alias("total_fuel_l"),
         F.sum(F.coalesce("cost", F.lit(0.0))).alias("total_cost"),
         F.avg(F.when(priced, F.col("price_fuel"))).alias("avg_fuel_price"),
         F.count_if(is_sensor()).alias("sensor_trips"), F.count_if(is_cloud()).alias("cloud_trips"))
+    economy = ratio(settled("total_km"), settled("total_fuel_l"))
+    return totals.withColumn("km_per_l", F.coalesce(economy, F.lit(0.0)))
 
 
 def cloud_kpis(trips: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -167,7 +167,7 @@ def _aggregate(name: str, assigned: str) -> None:
     add_view(name, [assigned, "legs_v"], f"""
 SELECT a.trip_id, count(*) AS legs, arg_min(leg_id, (start, leg_id)) AS cloud_id,
   nullif(sum(coalesce(fuel_l, 0)), 0) AS cloud_fuel_l, nullif(sum(coalesce(distance_km, 0)), 0) AS cloud_distance_km,
-  coalesce(nullif(sum(coalesce(cost, 0)), 0) / nullif(sum(coalesce(fuel_l, 0)), 0),
+  coalesce(nullif({dec('sum(coalesce(cost, 0))', 9)}, 0) / nullif({dec('sum(coalesce(fuel_l, 0))', 9)}, 0),
            nullif(arg_max(coalesce(price_fuel, 0), (start, leg_id)), 0)) AS price_fuel,
   arg_max(fuel_level, (start, leg_id)) AS fuel_level, arg_max(km_to_service, (start, leg_id)) AS km_to_service,
   arg_max(days_to_service, (start, leg_id)) AS days_to_service, bool_or(maintenance_passed) AS maintenance_passed,

@@ -129,8 +129,8 @@ def _st(c: str, name: str) -> str:
     return f"{dec(c, 9)} AS {name}"
 
 
-add_view("cost_std_v", ["trips_p"], """
-SELECT vehicle_id, count(*) AS n, sum(cost) AS total, sum(cost) / sum(distance_km) * 100 AS per100,
+add_view("cost_std_v", ["trips_p"], f"""
+SELECT vehicle_id, count(*) AS n, sum(cost) AS total, {dec('sum(cost)', 9)} / {dec('sum(distance_km)', 9)} * 100 AS per100,
   coalesce(sum(cost) FILTER (recent), 0) AS recent_cost, count(*) FILTER (recent) AS recent_n
 FROM (SELECT *, floor((epoch(max(start) OVER (PARTITION BY vehicle_id)) - epoch(start)) / 86400e0) <= 30 AS recent
       FROM trips_p WHERE cost <> 0 AND distance_km <> 0) GROUP BY vehicle_id HAVING count(*) >= 4""")

@@ -164,7 +164,7 @@ def unify_sources(spark, d):
 
 _KPI = f"""count(*) AS trips, {s6('sum(coalesce(distance_km, 0))', 'total_km')},
   {s6('sum(coalesce(duration_min, 0))', 'total_min')}, {s6('sum(coalesce(fuel_l, 0))', 'total_fuel_l')},
-  {s6('coalesce(sum(coalesce(distance_km, 0)) / nullif(sum(coalesce(fuel_l, 0)), 0), 0)', 'km_per_l')},
+  {s6(f"coalesce({dec('sum(coalesce(distance_km, 0))', 9)} / nullif({dec('sum(coalesce(fuel_l, 0))', 9)}, 0), 0)", 'km_per_l')},
   {s6('sum(coalesce(cost, 0))', 'total_cost')},
   {s6(f'avg(price_fuel) FILTER ({CLOUD} AND price_fuel <> 0)', 'avg_fuel_price')},
   count(*) FILTER ({SENSOR}) AS sensor_trips, count(*) FILTER ({CLOUD}) AS cloud_trips"""
@@ -321,9 +321,9 @@ def best_trip(spark, d):
     return tr.best_trip(v.trips_read(spark, d))
 
 
-add_view("cost_v", ["trips_p"], """
+add_view("cost_v", ["trips_p"], f"""
 SELECT vehicle_id, count(*) AS n, sum(cost) AS total_cost, sum(distance_km) AS total_km,
-  sum(cost) / sum(distance_km) * 100 AS cost_per_100km,
+  {dec('sum(cost)', 9)} / {dec('sum(distance_km)', 9)} * 100 AS cost_per_100km,
   coalesce(sum(cost) FILTER (recent), 0) AS recent_cost, count(*) FILTER (recent) AS recent_n
 FROM (SELECT *, floor((epoch(max(start) OVER (PARTITION BY vehicle_id)) - epoch(start)) / 86400e0) <= 400 AS recent
       FROM trips_p WHERE cost <> 0 AND distance_km <> 0) GROUP BY vehicle_id HAVING count(*) >= 2""")

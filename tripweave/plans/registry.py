@@ -32,8 +32,6 @@ _RATIOS = {"recent", "older", "median", "mean", "mean_before", "last_rate", "slo
 
 
 def _digits(name: str) -> int:
-    if name == "price_fuel":
-        return 12
     return 9 if name in _RATIOS else 6
 
 
