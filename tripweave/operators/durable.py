@@ -13,11 +13,13 @@ _SETTING = "spark.checkpoint.dir"
 def work_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a temporary folder is chosen and
-    kept for the session.
+    A session that runs in one process may leave it unset; a temporary folder is then chosen and kept for the
+    session. On a cluster that folder would differ from node to node, so a missing setting is an error there.
     """
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_SETTING, named)
     return named.rstrip("/")
@@ -28,7 +30,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a trip-level intermediate once and read it back.
+    """Write an intermediate once and read it back.
 
     Later steps then start from columnar files: nothing upstream is recomputed
     when an executor is lost, and steps that read it twice do not repeat the work.
