@@ -24,8 +24,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text only: other columns of any name are left behind; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    """doc_id and text only: other columns of any name are left behind; a null text is empty.
+
+    A row without an id is no document and is left out.
+    """
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import op3_language, op5_packing, op6_bpe, op10_toxicity
+from tripweave.llm import op1_quality, op3_language, op5_packing, op6_bpe, op8_fingerprint, op10_toxicity
 from tripweave.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_rule_quality(spark, sf_dir):
+    scored = op1_quality.quality(documents(spark, sf_dir), labels(spark, sf_dir), folds=5, test_fold=0)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     found = op3_language.identify(documents(spark, sf_dir), folds=4, test_fold=2)
@@ -41,6 +48,13 @@ def op6_tree_bpe(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_scaled_sketch(spark, sf_dir):
+    return op8_fingerprint.with_next(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next")
+
+
 @query
 def op10_kneser_ney_toxicity(spark, sf_dir):
     scored = op10_toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), folds=5, test_fold=0)
