@@ -26,7 +26,7 @@ from tripweave.llm.common import slices, text_buffer, texts
 from tripweave.llm.tokenizing import PartMemo
 
 LEAF = 4
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 Ids = tuple[int, ...]
 
 
@@ -66,7 +66,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> Ids:
 class TreeEncoder:
     """Encodes and decodes by one rank table; keeps what it has met, within bounds."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 100_000):
         self.ranks, self.pattern, self.most = ranks, regex.compile(pattern), most
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():

@@ -49,7 +49,7 @@ class PartMemo:
     holds ``most`` parts, so its memory is bounded.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[bytes]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[bytes]], most: int = 250_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
