@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import op1_quality, op3_language, op5_packing, op6_bpe, op8_fingerprint, op10_toxicity
+from tripweave.llm import (op1_quality, op3_language, op5_packing, op6_bpe, op8_fingerprint, op9_lines,
+                           op10_toxicity)
 from tripweave.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,15 @@ def op8_scaled_sketch(spark, sf_dir):
         "near_edited", "near_next")
 
 
+@query
+def op9_log_templates(spark, sf_dir):
+    return op9_lines.drop_recurring_lines(documents(spark, sf_dir), dropped="n_dropped").select(
+        "doc_id", "text", "n_dropped")
+
+
+ORACLES["op9_log_templates"] = op9_lines.ORACLE_LINES
+
+
 @query
 def op10_kneser_ney_toxicity(spark, sf_dir):
     scored = op10_toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), folds=5, test_fold=0)
