@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import (op1_quality, op3_language, op5_packing, op6_bpe, op8_fingerprint, op9_lines,
+from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op5_packing, op6_bpe, op8_fingerprint, op9_lines,
                            op10_toxicity)
 from tripweave.llm.common import documents, held_out, labels
 
@@ -28,6 +28,11 @@ def op1_rule_quality(spark, sf_dir):
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op2_count_vector_rtree(spark, sf_dir):
+    return op2_jaccard.jaccard_components(documents(spark, sf_dir), k=3, percent=90)
+
+
 @query
 def op3_language_id(spark, sf_dir):
     found = op3_language.identify(documents(spark, sf_dir), folds=4, test_fold=2)
