@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import materialize, slices, text_buffer, texts
 from tripweave.llm.components import components, groups
+from tripweave.llm.filters import bit_filter, passes, slot_of
 from tripweave.llm.hashing import mix, shingle_hashes, word_hashes, word_spans
 
 SPARE = 2
 CELL = 1024                # documents of one side of a block's cell
 LEAF = 16
-FILTER_BITS = 1 << 24
 _SLICE = 4 << 20
 _BAND = 1.5
 
@@ -107,27 +107,13 @@ def _hashed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A filter of FILTER_BITS bits that all the ids pass; its size is fixed."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.floor(slot / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id, shingles (ascending, bytes of 64-bit hashes) of at least the documents ``ids``; texts aren't moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))        # FILTER_BITS, whatever the number of ids
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids))     # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("slot").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((shared.value[at // 64] >> (at % 64) & 1).astype(bool)))
-            if not batch.num_rows:
-                continue
+            batch = batch.filter(passes(shared.value, batch.column("slot")))
             data, offsets = text_buffer(batch.column("text"))
             for lo, hi in slices(offsets, _SLICE):
                 yield pa.RecordBatch.from_arrays(
@@ -135,7 +121,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                      pa.array([h.tobytes() for h in _sets(data, offsets[lo:hi + 1], k)], pa.binary())],
                     ["doc_id", "shingles"])
 
-    return texts(docs).withColumn("slot", slot).mapInArrow(run, "doc_id long, shingles binary")
+    return texts(docs).withColumn("slot", slot_of("doc_id")).mapInArrow(run, "doc_id long, shingles binary")
 
 
 def n_groups(size: float) -> int:

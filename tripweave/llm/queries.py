@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op5_packing, op6_bpe, op8_fingerprint, op9_lines,
-                           op10_toxicity)
+from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op5_packing, op6_bpe, op7_passages,
+                           op8_fingerprint, op9_lines, op10_toxicity)
 from tripweave.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op6_tree_bpe(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op7_chained_passages(spark, sf_dir):
+    return op7_passages.passages(documents(spark, sf_dir)).select(
+        "doc_id", "start", "end", "source_id", "source_start", "source_end", "same")
+
+
 @query
 def op8_scaled_sketch(spark, sf_dir):
     return op8_fingerprint.with_next(documents(spark, sf_dir)).select(
