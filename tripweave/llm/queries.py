@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op5_packing, op6_bpe, op7_passages,
-                           op8_fingerprint, op9_lines, op10_toxicity)
+from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op4_search, op5_packing, op6_bpe,
+                           op7_passages, op8_fingerprint, op9_lines, op10_toxicity)
 from tripweave.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,14 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op4_dual_tree_search(spark, sf_dir):
+    return op4_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+
+
+ORACLES["op4_dual_tree_search"] = op4_search.ORACLE
+
+
 @query
 def op5_binary_packing(spark, sf_dir):
     packed = op5_packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
