@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that an earlier document has."""
+    """Documents without the passages of 45 words or more that an earlier document has."""
     return _counted(op7_passages.drop_passages(docs, op7_passages.passages(docs)))
 
 
