@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each group of near duplicates (five-word shingles, Jaccard 0.8)."""
     found = op2_jaccard.jaccard_components(docs, k=5, percent=80)
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_doc")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_doc"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_doc"], "left_anti")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,14 +108,14 @@ def drop_recurring_lines(docs: DataFrame, agree: float = AGREE, least: int = MIN
     gone = recurring(lines, templates(docs, lines, agree, least), least).groupBy(
         F.col("doc_id").alias("_gone_doc"), F.col("version").alias("_gone_version")).agg(
         F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone_doc"))
-                       & (F.xxhash64(docs["text"]) == F.col("_gone_version")), "left")
-    none = F.col("_gone").isNull()
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone_doc"])
+                       & (F.xxhash64(docs["text"]) == gone["_gone_version"]), "left")
+    none = gone["_gone"].isNull()
+    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(gone["_gone"], i)), "\n")
     text = F.when(none, docs["text"]).otherwise(kept).alias("text")
     columns = [text if c == "text" else docs[c] for c in docs.columns]
     if dropped:
-        columns.append(F.when(none, 0).otherwise(F.size("_gone")).cast("long").alias(dropped))
+        columns.append(F.when(none, 0).otherwise(F.size(gone["_gone"])).cast("long").alias(dropped))
     return joined.select(*columns)
 
 
