@@ -149,11 +149,16 @@ def encoder(ranks_path: str, pattern: str) -> TreeEncoder:
     return TreeEncoder(read_ranks(ranks_path), pattern)
 
 
-def _add(df: DataFrame, target: str, work: Callable[[pa.RecordBatch], list[bytes]]) -> DataFrame:
+def _add(df: DataFrame, source: str, target: str,
+         work: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """df with the bytes that ``work`` makes of slices (bytes and row borders) of the column ``source``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(work(batch), pa.binary())],
-                                             [*batch.schema.names, target])
+            data, offsets = text_buffer(batch.column(source))
+            for lo, hi in slices(offsets, _SLICE):
+                made = pa.array(work(data, offsets[lo:hi + 1]), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, made],
+                                                 [*batch.schema.names, target])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, `{target}` binary")
@@ -161,16 +166,14 @@ def _add(df: DataFrame, target: str, work: Callable[[pa.RecordBatch], list[bytes
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of every whole text."""
-    def work(batch: pa.RecordBatch) -> list[bytes]:
-        data, offsets = text_buffer(batch.column("text"))
-        tree = encoder(ranks_path, pattern)
-        return [x for lo, hi in slices(offsets, _SLICE) for x in tree.encode_rows(data, offsets[lo:hi + 1])]
-
-    return _add(texts(docs), "ids", work).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    coded = _add(texts(docs), "text", "ids", lambda data, at: encoder(ranks_path, pattern).encode_rows(data, at))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds ``decoded``, the bytes that the column ``ids`` stands for."""
-    return _add(encoded, "decoded",
-                lambda batch: [encoder(ranks_path, pattern).decode(i.as_py()) for i in batch.column("ids")])
+    def work(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        tree = encoder(ranks_path, pattern)
+        return [tree.decode(data[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+    return _add(encoded, "ids", "decoded", work)
