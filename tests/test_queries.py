@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, duck
+from tripweave.plans import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
@@ -27,3 +27,4 @@ def test_query(spark, con, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())

@@ -108,10 +108,36 @@ def test_stored_tables(spark):
     assert {(r.trip_id, r.x) for r in tb.upsert(old, new).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert [r.trip_id for r in tb.ingest_incremental(new, old).collect()] == [3]
     path = folder({}) + "/trips"
-    days = old.withColumn("start", F.expr("timestamp_ntz'2026-01-01 10:00:00' + make_dt_interval(cast(trip_id as int))"))
-    tb.write_trips(days, path)
-    tb.write_trips(days.filter("trip_id = 2").withColumn("x", F.lit("z")), path)
-    assert {(r.trip_id, r.x) for r in tb.read_trips(spark, path).collect()} == {(1, "a"), (2, "z")}
+    days = old.withColumn("start", F.expr("timestamp_ntz'2026-05-01 23:59:00' + make_dt_interval(cast(trip_id as int))"))
+    tb.write_keyed(days, path, buckets=4)
+    moved = days.filter("trip_id = 2").selectExpr("trip_id", "version + 1 AS version", "'z' AS x",
+                                                  "start + INTERVAL 2 MINUTES AS start")     # over midnight
+    tb.upsert_keyed(spark, path, moved, buckets=4)
+    tb.upsert_keyed(spark, path, moved, buckets=4)
+    got = tb.read_trips(spark, path).collect()
+    assert sorted((r.trip_id, r.x, r.version) for r in got) == [(1, "a", 1), (2, "z", 2)]
+    assert {r.start.day for r in got if r.trip_id == 2} == {4}
+
+
+def test_export_numbers_and_rejects(spark):
+    leg = {"id": 7.0, "start": {"date": "2026-05-20T10:00:00Z"}, "end": {"date": "2026-05-20T10:20:00Z"},
+           "distance": 10, "travelTime": 1800.0, "fuelConsumption": 500000.0, "priceFuel": 2}
+    text = json.dumps([{"vin": "V1", "trips": [leg]}])
+    d = folder({"a.json": text, "b.json": text[:-20]})
+    one, = cj.parse_leg(cj.scan_trip_json(spark, d)).collect()
+    assert (one.leg_id, one.duration_min, one.fuel_l, one.cost) == ("myop-7", 30.0, 0.5, 1.0)
+    bad, = cj.rejected_exports(spark, d).collect()
+    assert bad.path.endswith("b.json") and "V1" in bad.broken
+
+
+def test_long_position_block_and_marks_inside_values(spark):
+    mark = struct.unpack("<d", fv.BINARY_RECORD_MARK + fv.BINARY_RECORD_MARK)[0]
+    rows = [(0.0, "rpm", 800.0), (0.5, "rpm", mark), (1.0, "rpm", 900.0)]
+    data = encode_log(rows, ["rpm"])
+    assert len(data) > 1500
+    d = folder({"2026-05-20 19-57-16.brc": data})
+    got = sb.scan_samples(spark, d).orderBy("seq").collect()
+    assert [(r.sec, r.value) for r in got] == [(s, x) for s, _, x in rows]
 
 
 def test_bucketed_samples_join_without_shuffle(spark):

@@ -9,6 +9,7 @@ from tripweave.functions.text import (  # noqa: F401
 )
 from tripweave.functions.times import (  # noqa: F401
     add_seconds, day_month, dst_seconds, epoch_seconds, end_time, local_to_utc, seconds_between,
+    whole_seconds,
 )
 from tripweave.functions.trip_columns import (  # noqa: F401
     average_speed, color_ramp, km_per_l, l_per_100, km_per_l_of_trip, sources_of, trip_cost,

@@ -15,6 +15,11 @@ def epoch_seconds(ts) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), col(ts)) / 1e6
 
 
+def whole_seconds(ts) -> Column:
+    """Seconds since 1970 without the fraction: what ends and starts are compared by."""
+    return F.floor(epoch_seconds(ts)).cast("double")
+
+
 def seconds_between(a, b) -> Column:
     return F.timestamp_diff("MICROSECOND", col(a), col(b)) / 1e6
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, settled, trip_cost
+from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, settled, trip_cost, whole_seconds
 from tripweave.operators import folds, ordered as o
 from tripweave.operators.durable import materialize
 from tripweave.operators.trends import TRIP_CHUNK_S, trip_chunk
@@ -39,8 +39,8 @@ def overlap_islands(trips: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
     decision ever crosses that cut.
     """
     rows = trips.filter(F.col("start").isNotNull()).select(
-        "vehicle_id", "trip_id", "start", epoch_seconds("start").alias("start_s"),
-        epoch_seconds("end").alias("end_s"), _zero("pid_count").alias("pids"),
+        "vehicle_id", "trip_id", "start", whole_seconds("start").alias("start_s"),
+        whole_seconds("end").alias("end_s"), _zero("pid_count").alias("pids"),
         _zero("duration_min").alias("dur"))
     scan = dict(keys=["vehicle_id"], order=["start", "trip_id"], chunk=trip_chunk(width=width))
     reach = o.ordered_scan(rows, **scan, reach=o.max_before("end_s"))
@@ -71,7 +71,7 @@ def overlap_pairs(trips: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
     bucket); b appears in the bucket of its start only, so a pair is found once.
     """
     t = trips.filter(F.col("start").isNotNull()).select(
-        "vehicle_id", "trip_id", epoch_seconds("start").alias("s"), epoch_seconds("end").alias("e"))
+        "vehicle_id", "trip_id", whole_seconds("start").alias("s"), whole_seconds("end").alias("e"))
     a = t.filter(F.col("e").isNotNull() & (F.col("e") > F.col("s"))).select(
         "vehicle_id", F.col("trip_id").alias("trip_a"), F.col("s").alias("s_a"), F.col("e").alias("e_a"),
         F.explode(F.sequence(_bucket("s", bucket_s), _bucket("e", bucket_s))).alias("bucket"))
@@ -100,11 +100,11 @@ def sensor_chains(trips: DataFrame, gap_s: float = MERGE_GAP_S,
     """Every trip with its chain: (vehicle_id, trip_id, start, chain, members, primary_id).
 
     Consecutive trips chain when the next starts 0 to ``gap_s`` after the end of
-    the one before; a negative or unknown gap breaks.
+    the one before, both without their fractions; a negative or unknown gap breaks.
     """
     rows = trips.select("vehicle_id", "trip_id", "start", "end")
     scan = dict(keys=["vehicle_id"], order=["start", "trip_id"], chunk=trip_chunk(width=width))
-    gap = epoch_seconds("start") - epoch_seconds("_prev_end")
+    gap = whole_seconds("start") - whole_seconds("_prev_end")
     linked = o.ordered_scan(rows, **scan, _prev_end=o.previous("end")).withColumn(
         "opens", F.when(gap.between(0.0, gap_s), 0).otherwise(1))
     chained = o.ordered_scan(linked, **scan, chain=o.running_sum("opens")).drop(

@@ -20,7 +20,7 @@ NEAREST_S = 15 * DAY
 # -- overlaps --------------------------------------------------------------------
 
 add_view("ranked_v", ["trips_v"], """
-SELECT vehicle_id, trip_id, epoch(start) AS s, epoch("end") AS e, coalesce(pid_count, 0) AS n,
+SELECT vehicle_id, trip_id, floor(epoch(start)) AS s, floor(epoch("end")) AS e, coalesce(pid_count, 0) AS n,
        coalesce(duration_min, 0) AS d,
        row_number() OVER (PARTITION BY vehicle_id ORDER BY start, trip_id) AS rn FROM trips_v""")
 add_view("champion_v", ["ranked_v"], """
@@ -64,7 +64,7 @@ def _chains(name: str, source: str) -> None:
     add_view(name, [source], f"""
 SELECT vehicle_id, trip_id, start, first_value(trip_id) OVER c AS primary_id, count(*) OVER g AS members
 FROM (SELECT *, sum(opens) OVER w AS chain FROM (
-  SELECT *, CASE WHEN epoch(start) - epoch(lag("end") OVER w) BETWEEN 0 AND {GAP_S} THEN 0 ELSE 1 END AS opens
+  SELECT *, CASE WHEN floor(epoch(start)) - floor(epoch(lag("end") OVER w)) BETWEEN 0 AND {GAP_S} THEN 0 ELSE 1 END AS opens
   FROM {source} WINDOW w AS (PARTITION BY vehicle_id ORDER BY start, trip_id))
   WINDOW w AS (PARTITION BY vehicle_id ORDER BY start, trip_id))
 WINDOW c AS (PARTITION BY vehicle_id, chain ORDER BY start, trip_id), g AS (PARTITION BY vehicle_id, chain)""")

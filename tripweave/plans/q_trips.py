@@ -10,6 +10,7 @@ from tripweave.functions import (average_speed, day_month, dst_seconds, end_time
                                  local_start_of_file, strip_zone, trip_cost, trip_id_of_file,
                                  vin_suffix)
 from tripweave.operators import geo, ordered as o, quality as ql, trends as tr, trips as op
+from tripweave.operators.durable import new_folder
 from tripweave.operators.rules import message
 from tripweave.plans import views as v
 from tripweave.plans.registry import query, r6, s6
@@ -135,15 +136,16 @@ def recent_k(spark, d):
     return op.recent_k(v.trips(spark, d).select("trip_id", "start"), 5)
 
 
-@query("sink_trip_summary", "SELECT trip_id, vehicle_id, start, pid_count, n > 0 AS has_track FROM trips_v "
-       "LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON trip_id = l_orderkey "
-       "WHERE n IS NOT NULL", ("trips_v",))
+@query("sink_trip_summary", "SELECT trip_id, vehicle_id, start, coalesce(pid_count, 0) AS pid_count, "
+       "coalesce(n > 0, false) AS has_track FROM trips_v LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem "
+       "WHERE l_linenumber > 1 GROUP BY 1) ON trip_id = l_orderkey", ("trips_v",))
 def sink_trip_summary(spark, d):
     lines = v.table(spark, d, "lineitem")
     heavy = lines.groupBy("l_orderkey").agg(
         F.map_from_entries(F.collect_set(F.struct(F.col("l_partkey").cast("string"), F.lit(1.0))))
-        .alias("pid_values"), F.array(F.struct(F.lit(1.0).alias("lat"))).alias("track"))
-    t = v.trips(spark, d).join(heavy, F.col("trip_id") == F.col("l_orderkey"))
+        .alias("pid_values"),
+        F.collect_list(F.when(F.col("l_linenumber") > 1, F.struct(F.lit(1.0).alias("lat")))).alias("track"))
+    t = v.trips(spark, d).join(heavy, F.col("trip_id") == F.col("l_orderkey"), "left")
     return op.slim_trips(t).select("trip_id", "vehicle_id", "start", F.col("pid_count").cast("bigint")
                                    .alias("pid_count"), "has_track")
 
@@ -395,14 +397,14 @@ def trend_series(spark, d):
 
 
 @query("iqr_outlier_filter", """
-SELECT trip_id, CASE WHEN n >= 6 AND q3 <> q1 THEN
+SELECT trip_id, CASE WHEN total >= 6 AND n >= 4 AND q3 <> q1 THEN
          CASE WHEN distance_km BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1) THEN distance_km END
        ELSE distance_km END AS filtered
 FROM (SELECT *, s[CAST(floor(n * 0.25e0) AS INT) + 1] AS q1, s[CAST(floor(n * 0.75e0) AS INT) + 1] AS q3 FROM trips_v
-  JOIN (SELECT vehicle_id, list(distance_km ORDER BY distance_km) AS s, count(*) AS n FROM trips_v
-        WHERE distance_km IS NOT NULL GROUP BY 1) USING (vehicle_id) WHERE distance_km IS NOT NULL)""", ("trips_v",))
+  JOIN (SELECT vehicle_id, list(distance_km ORDER BY distance_km) FILTER (distance_km IS NOT NULL) AS s,
+               count(distance_km) AS n, count(*) AS total FROM trips_v GROUP BY 1) USING (vehicle_id))""", ("trips_v",))
 def iqr_outlier_filter(spark, d):
-    rows = v.trips(spark, d).filter("distance_km is not null").select("vehicle_id", "trip_id", "distance_km")
+    rows = v.trips(spark, d).select("vehicle_id", "trip_id", "distance_km")
     return tr.iqr_outlier_filter(rows, "distance_km", 0.5).select("trip_id", "filtered")
 
 
@@ -568,7 +570,7 @@ def file_start(spark, d):
                        local_to_utc(start).alias("start_utc"))
 
 
-@query("end_time", """SELECT trip_id, "end" FROM trips_v""", ("trips_v",))
+@query("end_time", """SELECT trip_id, date_trunc('second', "end") AS "end" FROM trips_v""", ("trips_v",))
 def end_time_query(spark, d):
     return v.trips(spark, d).select("trip_id", end_time("start", "duration_min").alias("end"))
 
@@ -621,4 +623,7 @@ def sink_trips_upsert(spark, d):
         F.expr("l_orderkey * 10 + l_linenumber").alias("id"), F.col("l_shipdate").alias("version"),
         F.col("l_quantity").cast("bigint").alias("q"), F.col("l_partkey").alias("part"))
     split = F.col("version") < F.lit("1998-01-01").cast("timestamp_ntz")
-    return tb.upsert(rows.filter(split), rows.filter(~split), "id").select("id", "q", "version")
+    folder = new_folder(spark, "trips")
+    tb.write_keyed(rows.filter(split), folder, "id", buckets=8)
+    tb.upsert_keyed(spark, folder, rows.filter(~split), "id", buckets=8)
+    return tb.read_trips(spark, folder).select("id", "q", "version")

@@ -107,7 +107,8 @@ def trips(spark: SparkSession, d: str) -> DataFrame:
         F.min("l_suppkey").alias("smin"), F.max("l_suppkey").alias("smax"))
     rows = table(spark, d, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     start = F.expr("timestampadd(MINUTE, cast(o_orderkey * 37 % 1440 as int), o_orderdate)")
-    end = F.expr("timestampadd(SECOND, (qty % 200) * 86400 + 450, start)")
+    end = F.expr("timestampadd(MILLISECOND, CASE WHEN o_orderkey % 4 = 0 THEN 700 ELSE 0 END, "
+                 "timestampadd(SECOND, (qty % 200) * 86400 + 450, start))")
     alerts = F.expr("CASE WHEN o_orderkey % 6 = 0 AND smin IS NOT NULL "
                     "THEN array(cast(smin % 168 as int), cast(smax % 168 as int)) "
                     "ELSE cast(array() as array<int>) END")
@@ -173,7 +174,8 @@ WHERE sec BETWEEN t_start AND t_end"""),
 SELECT *, CASE WHEN fuel_l > 0 AND distance_km > 0 THEN fuel_l / distance_km * 1e2 END AS l100km FROM (
 SELECT o_custkey AS vehicle_id, o_orderkey AS trip_id, 'obd_csv' AS source,
        concat(strftime(start, '%Y-%m-%d %H-%M-%S'), '.csv') AS filename, start,
-       start + to_seconds((qty % 200) * 86400 + 450) AS "end",
+       start + to_seconds((qty % 200) * 86400 + 450)
+             + to_milliseconds(CASE WHEN o_orderkey % 4 = 0 THEN 700 ELSE 0 END) AS "end",
        CASE WHEN o_orderkey % 6 = 0 AND smin IS NOT NULL
             THEN [CAST(smin % 168 AS INT), CAST(smax % 168 AS INT)] ELSE CAST([] AS INT[]) END AS alerts,
        {', '.join(f'{e} AS {n}' for n, e in _TRIP)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.operators import ordered as o
+from tripweave.operators.durable import materialize
 
 
 def ingest_incremental(incoming: DataFrame, existing: DataFrame, key: str = "trip_id") -> DataFrame:
@@ -43,11 +44,38 @@ def write_samples(samples: DataFrame, table: str, buckets: int = 256, chunk_rows
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def _in_buckets(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def _replace_buckets(rows: DataFrame, path: str) -> None:
+    (rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(path))
+
+
+def write_keyed(rows: DataFrame, path: str, key: str = "trip_id", buckets: int = 64, version: str = "version") -> None:
+    """Store the newest row per key in folders by a hash of the key.
+
+    A key never changes its folder, whatever else about the row changes, so replacing
+    a folder leaves nothing stale behind.
+    """
+    _replace_buckets(_in_buckets(upsert(rows.limit(0), rows, key, version), key, buckets), path)
+
+
+def upsert_keyed(spark: SparkSession, path: str, incoming: DataFrame, key: str = "trip_id", buckets: int = 64,
+                 version: str = "version") -> None:
+    """Merge rows into a stored table; only the folders their keys fall into are read and rewritten."""
+    incoming = materialize(_in_buckets(incoming, key, buckets), "incoming")
+    touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]     # at most ``buckets`` numbers
+    stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = materialize(upsert(stored, incoming, key, version), "merged")
+    _replace_buckets(merged, path)
+
+
 def write_trips(trips: DataFrame, path: str) -> None:
-    """Store trips by start date, replacing only the dates present."""
+    """Store a whole table of trips by start date; for later changes use ``write_keyed``."""
     (trips.withColumn("start_date", F.to_date("start"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("start_date").parquet(path))
+     .write.mode("overwrite").partitionBy("start_date").parquet(path))
 
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
