@@ -105,14 +105,15 @@ def trip_events(samples: DataFrame, rules: EventRules = EventRules()) -> DataFra
 
 
 def line_features(points: DataFrame, properties: DataFrame | None = None,
-                  points_per_line: int = 10_000) -> DataFrame:
-    """GeoJSON LineString per trip and part, as text.
+                  points_per_line: int | None = None) -> DataFrame:
+    """GeoJSON LineString per trip, as text.
 
-    A line holds at most ``points_per_line`` segments; the cut point closes one
-    part and opens the next, so the parts join into the whole path.
+    With ``points_per_line`` a line holds at most so many segments; the cut point closes
+    one part and opens the next, so the parts join into the whole path.
     """
-    part = F.floor(F.col("idx") / points_per_line).cast("bigint")
-    cut = (F.col("idx") % points_per_line == 0) & (F.col("idx") > 0)
+    size = F.lit(points_per_line or 1 << 62)
+    part = F.floor(F.col("idx") / size).cast("bigint")
+    cut = (F.col("idx") % size == 0) & (F.col("idx") > 0)
     parts = points.withColumn("part", F.explode(
         F.when(cut, F.array(part - 1, part)).otherwise(F.array(part))))
     lines = parts.groupBy("trip_id", "part").agg(

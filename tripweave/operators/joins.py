@@ -6,19 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-DIMENSION_ROWS = 10_000
 SALTS = 32
 
 
-def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup table, given only after its size is checked.
-
-    At most ``rows`` + 1 rows are looked at; a larger table keeps the ordinary
-    shuffled join.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str,
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join per-key facts (one row per key) to rows of possibly hot keys.

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tripweave import fixed_values as fv
 from tripweave.functions import noise, py_round, sensor_group, short_name, slugify
 from tripweave.operators import ordered as o
-from tripweave.operators.joins import dimension
 
 SERIES_POINTS = 60
 STALE_AFTER_S = 60
@@ -21,7 +20,7 @@ def slug_table(spark) -> DataFrame:
 
 def with_slug(sensors: DataFrame, slugs: DataFrame) -> DataFrame:
     """Curated slug where the dimension has one, else the slugified name."""
-    return (sensors.join(dimension(slugs), "pid", "left")
+    return (sensors.join(slugs, "pid", "left")
             .withColumn("slug", F.coalesce("curated_slug", slugify("pid"))))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tripweave import fixed_values as fv
 from tripweave.functions import swap_correct
 from tripweave.operators import ordered as o
-from tripweave.operators.joins import dimension, salted_join
+from tripweave.operators.joins import salted_join
 
 
 def anchor_bounds(samples: DataFrame, anchors: Sequence[str] = fv.ENGINE_ANCHORS,
@@ -91,7 +91,7 @@ def correct_values(samples: DataFrame, corrections: DataFrame) -> DataFrame:
     ``corrections`` is (pid, div, mul, ofs).
     """
     fixed_value = F.when(F.col("div").isNotNull(), swap_correct("value", "div", "mul", "ofs"))
-    return (samples.join(dimension(corrections), "pid", "left")
+    return (samples.join(corrections, "pid", "left")
             .withColumn("value", F.coalesce(fixed_value, F.col("value")))
             .drop("div", "mul", "ofs"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tripweave import fixed_values as fv
 from tripweave.functions import (finite_or_null, km_per_l_of_trip, nonzero, py_round, ratio,
                                  settled, sources_of)
-from tripweave.operators.joins import dimension
 
 REGEN = fv.REGEN_STATES
 
@@ -171,7 +170,7 @@ def alert_table(spark) -> DataFrame:
 
 def alert_lookup(codes: DataFrame, alerts: DataFrame) -> DataFrame:
     """Severity and label per code; an unknown code stays, as info ``#code``."""
-    return (codes.join(dimension(alerts), "code", "left")
+    return (codes.join(alerts, "code", "left")
             .withColumn("severity", F.coalesce("severity", F.lit("info")))
             .withColumn("label", F.coalesce("label", F.concat(F.lit("#"), F.col("code").cast("string")))))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tripweave.functions import color_ramp, sensor_group, short_name, slugify
 from tripweave.operators import dpf, geo, pid_stats as ps, samples as sm, trends as tr
 from tripweave.operators import trip_fields as tf
-from tripweave.operators.joins import dimension
 from tripweave.plans import views as v
 from tripweave.plans.registry import query, r6, s6
 from tripweave.plans.views import add_view, dec
@@ -364,7 +363,7 @@ FROM samples_v LEFT JOIN fix_dim_v USING (pid) GROUP BY ALL""", ("samples_v", "f
 def correction_lookup(spark, d):
     dim = spark.createDataFrame(CORRECTIONS, "pid string, div double, mul double, ofs double")
     counts = v.samples(spark, d).groupBy("pid").agg(F.count(F.lit(1)).alias("samples"))
-    return counts.join(dimension(dim), "pid", "left").select(
+    return counts.join(dim, "pid", "left").select(
         "pid", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("div", 1.0), ("mul", 1.0), ("ofs", 0.0))],
         "samples")
 
