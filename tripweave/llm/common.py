@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.operators.durable import materialize, new_folder
-
-__all__ = ["documents", "drop_stored", "held_out", "labels", "materialize", "new_folder", "slices", "text_buffer",
-           "texts"]
+from tripweave.operators.durable import new_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +52,17 @@ def slices(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def drop_stored(df_path: str, spark: SparkSession) -> None:
-    """Remove a stored intermediate that nothing will read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate to the shared folder and read it back; ``discard`` removes it again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Remove intermediates that nothing will read again: what came from them must have been written."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import materialize
+from tripweave.llm.common import discard, keep
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,7 +22,7 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     writes them; it ends when a round changes nothing, after a number of rounds logarithmic in the longest path.
     A node with very many edges is reduced before the shuffle and joined under adaptive skew handling.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .distinct(), label)
     before, state = None, _state(now)
     while state != before and state[0]:
@@ -30,10 +30,11 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) \
             .where("a <> b").distinct()
-        large = materialize(large, label)
+        large = keep(large, label)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        old, now = now, keep(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), label)
+        discard(old, large)
         before, state = state, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

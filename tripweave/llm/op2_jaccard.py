@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import materialize, slices, text_buffer, texts
+from tripweave.llm.common import discard, keep, slices, text_buffer, texts
 from tripweave.llm.components import components, groups
 from tripweave.llm.filters import bit_filter, passes, slot_of
 from tripweave.llm.hashing import mix, shingle_hashes, word_hashes, word_spans
@@ -257,30 +257,32 @@ def _mapped(df: DataFrame, column: str, mapping: DataFrame, to: str) -> DataFram
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable over pairs of Jaccard similarity >= percent / 100."""
-    rows = materialize(_hashed(docs, k, percent), "rows")
+    rows = keep(_hashed(docs, k, percent), "rows")
     classes = rows.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     named = rows.select("doc_id", "n_shingles", "one", "two").join(classes, ["one", "two", "n_shingles"], "left") \
         .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    named = materialize(named, "named")
+    named = keep(named, "named")
     same = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     found = rows.select("doc_id", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     star = found.join(shared.select("key", "pivot"), "key").where("doc_id <> pivot")
     reps = same.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    star = materialize(_mapped(star, "doc_id", reps, "component").where("doc_id <> pivot").distinct(), "star")
+    star = keep(_mapped(star, "doc_id", reps, "component").where("doc_id <> pivot").distinct(), "star")
+    discard(rows)
 
     pairs = star.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     ids = star.select("doc_id").unionByName(star.select(F.col("pivot").alias("doc_id"))).distinct()
-    sets = materialize(_sets_of(docs, ids, k), "sets")
+    sets = keep(_sets_of(docs, ids, k), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
     links = _verified(pairs.join(left, "a").join(right, "b"), percent)
-    first = materialize(components(links.unionByName(same), "links"), "first")
+    first = components(links.unionByName(same), "links")
 
     split = _mapped(_mapped(star.withColumn("x", F.col("doc_id")).withColumn("y", F.col("pivot")), "x", first,
                             "component"), "y", first, "component")
-    split = materialize(split, "split")
+    split = keep(split, "split")
+    discard(star)
     live = split.where("x <> y").select("key").distinct()
     blocks = components(split.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), "blocks")
     members = split.join(live, "key").select("doc_id", "x").unionByName(
@@ -289,6 +291,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .select("block", F.col("x").alias("component"), "doc_id").join(sets, "doc_id")
     more = _mapped(_mapped(_block_join(members, percent), "a", first, "component"), "b", first, "component")
     second = components(more, "more")
+    discard(sets, split)
     out = _mapped(_mapped(named.withColumnRenamed("rep", "component_id"), "component_id", first, "component"),
                   "component_id", second, "component")
     return out.select("doc_id", "n_shingles", "component_id")

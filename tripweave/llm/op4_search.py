@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tripweave.llm.common import materialize
+from tripweave.llm.common import keep
 
 SAMPLE = 2048
 PIVOTS = 24
@@ -179,14 +179,14 @@ def _cells(x: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best partners of the vectors with an id divisible by ``every``."""
     spark = vectors.sparkSession
-    x = materialize(quantised(vectors), "vectors")
+    x = keep(quantised(vectors), "vectors")
     sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()      # at most SAMPLE rows
     by_size: dict[int, list] = {}
     for row in sample:
         by_size.setdefault(row["size"], []).append(row)
     points = {s: (np.array([r.vec_id for r in rows]), matrix([r.v for r in rows], s)) for s, rows in by_size.items()}
     pivots = {s: v.astype(np.float64)[farthest_first(v.astype(np.float64), PIVOTS)[0]] for s, (_, v) in points.items()}
-    placed = materialize(_cells(x, pivots), "cells")
+    placed = keep(_cells(x, pivots), "cells")
     n_of = F.count(F.when(F.col("vec_id") % every == 0, 1))
     cells = placed.groupBy("size", "cell").agg(
         F.count("*").alias("n"), n_of.alias("n_queries"), F.max("distance").alias("radius")).orderBy("size", "cell")
@@ -229,7 +229,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
     schema = "group long, size int, cell long, block long, vec_id long, v binary, floor long"
     queries = placed.where(F.col("vec_id") % every == 0).select("vec_id", "size", "v", "cell").mapInPandas(aim, schema)
-    queries = materialize(queries, "queries")
+    queries = keep(queries, "queries")
     blocks = spark.createDataFrame([(s, c, int(b)) for (s, c), b in plan["blocks"].items()] or [(0, 0, 1)],
                                    "size int, cell long, blocks long")
     data = placed.join(F.broadcast(blocks), ["size", "cell"]).withColumn(

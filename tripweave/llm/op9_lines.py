@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import materialize
+from tripweave.llm.common import discard, keep
 
 LEADING = 3
 AGREE = 0.5
@@ -69,7 +69,7 @@ def templates(docs: DataFrame, lines: DataFrame, agree: float = AGREE, least: in
         F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "line_no")).alias("at"))
     leaves = distinct.groupBy("leaf").agg(F.sum("n").alias("n_leaf"), F.count("*").alias("n_distinct")) \
         .where(F.col("n_leaf") >= least)
-    known = materialize(distinct.join(leaves, "leaf"), "lines")
+    known = keep(distinct.join(leaves, "leaf"), "lines")
     alone = known.where("n_distinct = 1").select("leaf", "line", F.col("line").alias("template"))
     wanted = known.where("n_distinct > 1").groupBy("at.doc_id", "at.version").agg(
         F.collect_list(F.struct("leaf", "line", "n", F.col("at.line_no").alias("line_no"))).alias("wanted"))
@@ -79,7 +79,7 @@ def templates(docs: DataFrame, lines: DataFrame, agree: float = AGREE, least: in
              .select("doc_id", "version", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
              .select("w.leaf", "w.line", "w.n", masked(F.element_at("all", F.col("w.line_no") + 1)).alias("words"))
              .groupBy("leaf", "line").agg(F.max("n").alias("n"), F.min("words").alias("words")))
-    found = materialize(found, "words")
+    found = keep(found, "words")
     first = found.groupBy("leaf").agg(
         F.min_by(F.struct("line", "words"), F.struct(-F.col("n"), "words")).alias("first"))
     same = F.size(F.filter(F.zip_with(F.split("words", " "), F.split("first.words", " "), lambda a, b: a == b),
@@ -87,25 +87,33 @@ def templates(docs: DataFrame, lines: DataFrame, agree: float = AGREE, least: in
     joined = found.join(first, "leaf").select(
         "leaf", "line", F.when(same >= agree * F.size(F.split("words", " ")), F.col("first.line"))
         .otherwise(F.col("line")).alias("template"))
-    return alone.unionByName(joined)
+    out = keep(alone.unionByName(joined), "templates")
+    discard(known, found)
+    return out
 
 
 def recurring(lines: DataFrame, named: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
     """doc_id, version, line_no of the lines whose template recurs across unrelated documents."""
-    placed = materialize(lines.join(named, ["leaf", "line"]).select(
+    placed = keep(lines.join(named, ["leaf", "line"]).select(
         "doc_id", "version", "line_no", "leaf", "template", "family"), "placed")
     by_family = (placed.groupBy("leaf", "template", "family", "doc_id", "version").agg(F.lit(1).alias("one"))
                  .groupBy("leaf", "template", "family").agg(F.count("*").alias("n")))
     spread = by_family.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.max("n").alias("largest")) \
         .where((F.col("n") - F.col("largest") >= least) & (2 * F.col("largest") <= F.col("n")))
-    return placed.join(spread.select("leaf", "template"), ["leaf", "template"]).select("doc_id", "version", "line_no")
+    out = keep(placed.join(spread.select("leaf", "template"), ["leaf", "template"]).select(
+        "doc_id", "version", "line_no"), "recurring")
+    discard(placed)
+    return out
 
 
 def drop_recurring_lines(docs: DataFrame, agree: float = AGREE, least: int = MIN_DOCUMENTS,
                          dropped: str | None = None) -> DataFrame:
     """``docs`` without the lines of recurring templates; ``dropped`` names a column for their number."""
-    lines = materialize(keyed_lines(docs), "keys")
-    gone = recurring(lines, templates(docs, lines, agree, least), least).groupBy(
+    lines = keep(keyed_lines(docs), "keys")
+    named = templates(docs, lines, agree, least)
+    found = recurring(lines, named, least)
+    discard(lines, named)
+    gone = found.groupBy(
         F.col("doc_id").alias("_gone_doc"), F.col("version").alias("_gone_version")).agg(
         F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone_doc"])
