@@ -37,7 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five-word shingles, Jaccard 0.8)."""
     found = op2_jaccard.jaccard_components(docs, k=5, percent=80)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_doc")).distinct()
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone_doc")).distinct() \
+        .hint("merge")                                # the same plan at every size
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone_doc"], "left_anti")
 
 

@@ -75,7 +75,7 @@ def templates(docs: DataFrame, lines: DataFrame, agree: float = AGREE, least: in
         F.collect_list(F.struct("leaf", "line", "n", F.col("at.line_no").alias("line_no"))).alias("wanted"))
     found = (docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                    _version().alias("version"), "text")
-             .join(wanted, ["doc_id", "version"])
+             .join(wanted.hint("merge"), ["doc_id", "version"])     # the same plan at every size
              .select("doc_id", "version", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
              .select("w.leaf", "w.line", "w.n", masked(F.element_at("all", F.col("w.line_no") + 1)).alias("words"))
              .groupBy("leaf", "line").agg(F.max("n").alias("n"), F.min("words").alias("words")))
@@ -116,6 +116,7 @@ def drop_recurring_lines(docs: DataFrame, agree: float = AGREE, least: int = MIN
     gone = found.groupBy(
         F.col("doc_id").alias("_gone_doc"), F.col("version").alias("_gone_version")).agg(
         F.collect_set("line_no").alias("_gone"))
+    gone = gone.hint("merge")
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["_gone_doc"])
                        & (F.xxhash64(docs["text"]) == gone["_gone_version"]), "left")
     none = gone["_gone"].isNull()
