@@ -295,3 +295,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     out = _mapped(_mapped(named.withColumnRenamed("rep", "component_id"), "component_id", first, "component"),
                   "component_id", second, "component")
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+#: the same in SQL over the table ``documents`` for three words and 90 per cent, where ids occur once
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(1))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], chr(1)))) END AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM sets
+  UNION
+  SELECT y, root FROM reach JOIN both_ways ON doc_id = x)
+SELECT doc_id, n_shingles, min(root) AS component_id
+FROM reach JOIN (SELECT doc_id, len(s)::BIGINT AS n_shingles FROM sets) USING (doc_id) GROUP BY ALL
+"""

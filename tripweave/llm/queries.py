@@ -33,6 +33,9 @@ def op2_count_vector_rtree(spark, sf_dir):
     return op2_jaccard.jaccard_components(documents(spark, sf_dir), k=3, percent=90)
 
 
+ORACLES["op2_count_vector_rtree"] = op2_jaccard.ORACLE
+
+
 @query
 def op3_language_id(spark, sf_dir):
     found = op3_language.identify(documents(spark, sf_dir), folds=4, test_fold=2)
