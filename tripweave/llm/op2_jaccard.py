@@ -266,10 +266,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     found = rows.select("doc_id", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    star = found.join(shared.select("key", "pivot"), "key").where("doc_id <> pivot")
+    shared = keep(shared.select("key", "pivot"), "shared")      # stored, so that a hot key's partition can be split
+    star = found.join(shared, "key").where("doc_id <> pivot")
     reps = same.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     star = keep(_mapped(star, "doc_id", reps, "component").where("doc_id <> pivot").distinct(), "star")
-    discard(rows)
+    discard(rows, shared)
 
     pairs = star.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     ids = star.select("doc_id").unionByName(star.select(F.col("pivot").alias("doc_id"))).distinct()

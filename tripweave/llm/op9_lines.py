@@ -100,9 +100,9 @@ def recurring(lines: DataFrame, named: DataFrame, least: int = MIN_DOCUMENTS) ->
                  .groupBy("leaf", "template", "family").agg(F.count("*").alias("n")))
     spread = by_family.groupBy("leaf", "template").agg(F.sum("n").alias("n"), F.max("n").alias("largest")) \
         .where((F.col("n") - F.col("largest") >= least) & (2 * F.col("largest") <= F.col("n")))
-    out = keep(placed.join(spread.select("leaf", "template"), ["leaf", "template"]).select(
-        "doc_id", "version", "line_no"), "recurring")
-    discard(placed)
+    spread = keep(spread.select("leaf", "template"), "spread")   # stored, so that a hot template's partition can be split
+    out = keep(placed.join(spread, ["leaf", "template"]).select("doc_id", "version", "line_no"), "recurring")
+    discard(placed, spread)
     return out
 
 
