@@ -53,7 +53,7 @@ def padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     at = np.arange(size.max() if len(size) else 0)
     inside = at[None, :] < size[:, None]
     index = np.minimum(starts[:, None] + at[None, :], max(len(data) - 1, 0))
-    return np.where(inside, data[index], 256).astype(np.int64) if len(size) else np.zeros((0, 0), np.int64)
+    return np.where(inside, data[index].astype(np.int64), 256) if len(size) else np.zeros((0, 0), np.int64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
