@@ -5,10 +5,11 @@ minima are too few is never verified. Points of a block stand in an R-tree, whos
 points below a node; surviving pairs are verified on the whole shingle sets.
 
 Which documents meet is decided by the groups' contents. Documents with sizes up to ``hi`` that reach the threshold
-differ in at most d = 2 hi (1 - t) / (1 + t) shingles, so of d + 1 + ``SPARE`` groups at least 1 + ``SPARE`` hold the same
-shingles. A document is sent to the key of every group that isn't empty (one with more than ``SPARE`` empty groups also
-to those), in the scheme of its size band and, near the upper end, of the next. No link is lost, and keys are exact
-enough that unrelated documents hardly meet.
+differ in at most d = 2 hi (1 - t) / (1 + t) shingles, so of d + 1 + s groups at least 1 + s hold the same shingles
+(s: a ``SPARE``-th of the groups). A document is sent to the key of every group that isn't empty (one with more than s
+empty groups also to those), in the scheme of its size band and, near the upper end, of the next. One with fewer shared
+keys than 1 + s less its empty groups links to no different set and is let go. No link is lost, and few unrelated
+documents meet.
 
 Within a key all documents are first compared with the smallest id (as many pairs as documents). Only where a key still holds
 several components do its documents go to an R-tree block, cut into cells of bounded size, and there pairs of one component
@@ -35,7 +36,7 @@ from tripweave.llm.components import components, groups
 from tripweave.llm.filters import bit_filter, passes, slot_of
 from tripweave.llm.hashing import mix, shingle_hashes, word_hashes, word_spans
 
-SPARE = 2
+SPARE = 8
 CELL = 1024                # documents of one side of a block's cell
 LEAF = 16
 _SLICE = 4 << 20
@@ -64,47 +65,55 @@ def group_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def keys_of(hashes: np.ndarray, percent: int, limits: list[int]) -> np.ndarray:
-    """What a document is found by: one key for each group whose content must be shared."""
-    n = len(hashes)
+def keys_of(hashes: np.ndarray, percent: int, limits: list[int]) -> tuple[np.ndarray, int]:
+    """What a document is found by, one key for each group, and how many keys it must share to link at all."""
+    n, least = len(hashes), 1 << 30
     if n < percent // (100 - percent):
-        return np.zeros(0, np.int64)          # only an equal set reaches the threshold
+        return np.zeros(0, np.int64), least   # only an equal set reaches the threshold
     band = int(np.searchsorted(limits, n))
     schemes = [band] + [band + 1] * (n * 100 >= percent * (limits[band] + 1))
     out = []
     for s in schemes:
-        parts = 2 * limits[s] * (100 - percent) // (100 + percent) + 1 + SPARE
+        differ = 2 * limits[s] * (100 - percent) // (100 + percent)
+        spare = max(2, differ // (SPARE - 1))
+        parts = differ + 1 + spare
         cut = np.searchsorted(group_of(hashes, parts), np.arange(parts + 1))
         full = np.flatnonzero(cut[1:] > cut[:-1])
         content = np.zeros(parts, np.uint64)
         content[full] = np.add.reduceat(mix(hashes), cut[full])
-        used = full if parts - len(full) <= SPARE else np.arange(parts)
+        empty = parts - len(full)
+        used = full if empty <= spare else np.arange(parts)
+        least = min(least, spare + 1 - (empty if empty <= spare else 0))
         out.append(mix(content[used] + mix((used + (s << 32)).astype(np.uint64))))
-    return np.concatenate(out).view(np.int64)
+    return np.concatenate(out).view(np.int64), least
 
 
 def _hashed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two sums that name the set, keys."""
+    """doc_id, n_shingles, two sums that name the set, keys, least (of them shared with others by one that links)."""
     limits = bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for lo, hi in slices(offsets, _SLICE):
-                n, one, two, keys = [], [], [], []
+                n, one, two, keys, least = [], [], [], [], []
                 for h in _sets(data, offsets[lo:hi + 1], k):
                     n.append(len(h))
                     one.append(mix(h).sum(dtype=np.uint64).view(np.int64))
                     two.append(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64))
-                    keys.append(keys_of(h, percent, limits))
+                    found, needed = keys_of(h, percent, limits)
+                    keys.append(found)
+                    least.append(needed)
                 border = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
                      pa.array(two, pa.int64()),
-                     pa.ListArray.from_arrays(border, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])))],
-                    ["doc_id", "n_shingles", "one", "two", "keys"])
+                     pa.ListArray.from_arrays(border, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))),
+                     pa.array(least, pa.int32())],
+                    ["doc_id", "n_shingles", "one", "two", "keys", "least"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>, "
+                                       "least int")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -265,12 +274,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     same = named.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     found = rows.select("doc_id", F.explode("keys").alias("key"))
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = keep(shared.select("key", "pivot"), "shared")      # stored, so that a hot key's partition can be split
-    star = found.join(shared, "key").where("doc_id <> pivot")
+    shared = keep(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    common = keep(found.join(shared, "key"), "common")          # shared is stored, so that a hot key can be split
+    least = rows.select("doc_id", "least").groupBy("doc_id").agg(F.min("least").alias("least"))
+    strong = keep(common.groupBy("doc_id").agg(F.count("*").alias("n")).join(least, "doc_id").where("n >= least")
+                  .select("doc_id"), "strong")
+    near = keep(common.join(strong, "doc_id"), "near")
+    discard(rows, shared, common, strong)
+    shared = keep(near.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+                  .select("key", "pivot"), "pivots")
+    star = near.join(shared, "key").where("doc_id <> pivot")
     reps = same.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     star = keep(_mapped(star, "doc_id", reps, "component").where("doc_id <> pivot").distinct(), "star")
-    discard(rows, shared)
+    discard(near, shared)
 
     pairs = star.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     ids = star.select("doc_id").unionByName(star.select(F.col("pivot").alias("doc_id"))).distinct()
