@@ -22,7 +22,7 @@ def folder(spark, tmp_path_factory):
                 words.insert(r.randrange(len(words)), r.choice(["Blorgface", "zumpkin", "grotnik"]))
         text = " ".join(words)
         if i % 40 == 1:
-            text += "\n" + passage
+            text += " " + passage
         if i % 8 == 2:
             text += "\nAll rights reserved by nobody 2021"
         docs.append((i, text, "en", "s", len(text)))
