@@ -39,6 +39,7 @@ from tripweave.llm.hashing import mix, shingle_hashes, word_hashes, word_spans
 SPARE = 8
 CELL = 1024                # documents of one side of a block's cell
 LEAF = 16
+PEEL = 3                   # rounds in which documents without enough keys across components are let go
 _SLICE = 4 << 20
 _BAND = 1.5
 
@@ -257,6 +258,20 @@ def _block_join(members: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
+def _peeled(held: DataFrame, strong: DataFrame) -> DataFrame:
+    """Rows (key, doc_id, component) of keys with several components and documents with enough such keys.
+
+    A pair that links across components shares ``least`` keys, and all of them hold both components.
+    """
+    live = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo <> hi").select("key")
+    rows = held.join(live, "key")
+    enough = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(strong, "doc_id").where("n >= least")
+    out = keep(rows.join(enough.select("doc_id"), "doc_id"), "peeled")
+    discard(held)
+    return out
+
+
 def _mapped(df: DataFrame, column: str, mapping: DataFrame, to: str) -> DataFrame:
     """``column`` of df replaced through (node, ``to``); a node that isn't in the mapping stays."""
     m = mapping.select(F.col("node").alias("_node"), F.col(to).alias("_to"))
@@ -278,9 +293,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     common = keep(found.join(shared, "key"), "common")          # shared is stored, so that a hot key can be split
     least = rows.select("doc_id", "least").groupBy("doc_id").agg(F.min("least").alias("least"))
     strong = keep(common.groupBy("doc_id").agg(F.count("*").alias("n")).join(least, "doc_id").where("n >= least")
-                  .select("doc_id"), "strong")
-    near = keep(common.join(strong, "doc_id"), "near")
-    discard(rows, shared, common, strong)
+                  .select("doc_id", "least"), "strong")
+    near = keep(common.join(strong.select("doc_id"), "doc_id"), "near")
+    discard(rows, shared, common)
     shared = keep(near.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
                   .select("key", "pivot"), "pivots")
     star = near.join(shared, "key").where("doc_id <> pivot")
@@ -298,17 +313,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     split = _mapped(_mapped(star.withColumn("x", F.col("doc_id")).withColumn("y", F.col("pivot")), "x", first,
                             "component"), "y", first, "component")
-    split = keep(split, "split")
+    held = keep(split.select("key", "doc_id", F.col("x").alias("component")).unionByName(
+        split.select("key", F.col("pivot").alias("doc_id"), F.col("y").alias("component"))).distinct(), "held")
     discard(star)
-    live = split.where("x <> y").select("key").distinct()
-    blocks = components(split.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), "blocks")
-    members = split.join(live, "key").select("doc_id", "x").unionByName(
-        split.join(live, "key").select(F.col("pivot").alias("doc_id"), F.col("y").alias("x"))).distinct()
-    members = members.join(blocks.select(F.col("node").alias("x"), F.col("component").alias("block")), "x") \
-        .select("block", F.col("x").alias("component"), "doc_id").join(sets, "doc_id")
+    for _ in range(PEEL):
+        held = _peeled(held, strong)
+    discard(strong)
+    least = held.groupBy("key").agg(F.min("component").alias("b"))
+    blocks = components(held.join(least, "key").select(F.col("component").alias("a"), "b"), "blocks")
+    members = held.select("doc_id", "component").distinct() \
+        .join(blocks.select(F.col("node").alias("component"), F.col("component").alias("block")), "component") \
+        .select("block", "component", "doc_id").join(sets, "doc_id")
     more = _mapped(_mapped(_block_join(members, percent), "a", first, "component"), "b", first, "component")
     second = components(more, "more")
-    discard(sets, split)
+    discard(sets, held)
     out = _mapped(_mapped(named.withColumnRenamed("rep", "component_id"), "component_id", first, "component"),
                   "component_id", second, "component")
     return out.select("doc_id", "n_shingles", "component_id")
