@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of templates that recur across unrelated documents."""
-    return _counted(op9_lines.drop_recurring_lines(docs))
+    return _counted(op9_lines.drop_recurring_lines(docs, each_family_once=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

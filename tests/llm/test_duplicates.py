@@ -257,6 +257,31 @@ def test_recurring_lines_go_and_copies_stay(spark):
         assert got[i] == (want, int(i < 20))
 
 
+@pytest.mark.parametrize("notice", [3, 60])       # a short line, and the longest one of its documents
+def test_many_copies_do_not_keep_a_recurring_line(spark, notice):
+    r, shared = random.Random(8), prose(9000, notice) + " notice"
+    copy = [prose(9100 + j, 30) for j in range(4)]
+    rows = [(i, "\n".join([*copy, shared])) for i in range(60)]
+    rows += [(100 + i, "\n".join([prose(9200 + 5 * i + j, 20) for j in range(i % 4 + 1)] + [shared])) for i in range(40)]
+    for i in range(60):
+        lines = list(copy)
+        lines[i % 4] = edited(lines[i % 4], r, 3)
+        rows.append((200 + i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = op9_lines.drop_recurring_lines(docs, dropped="gone", each_family_once=True)
+    got = {x.doc_id: (x.text, x.gone) for x in left.collect()}
+    for i, text in rows:
+        assert got[i] == ("\n".join(x for x in text.split("\n") if x != shared), int(i < 200)), i
+
+
+def test_copies_stay_when_each_family_counts_once(spark):
+    rows = [(i, "\n".join(prose(9500 + j, 25) for j in range(4))) for i in range(30)]
+    rows += [(100 + i, prose(9600, 12)) for i in range(30)] + [(200, None), (201, ""), (202, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = op9_lines.drop_recurring_lines(docs, dropped="gone", each_family_once=True)
+    assert {x.doc_id: (x.text, x.gone) for x in left.collect()} == {i: (t, 0) for i, t in rows}
+
+
 def test_next_documents_and_edited_texts(edges, spark):
     for buckets in (1, 2, 7):
         rows = op8_fingerprint.with_next(edges.where("doc_id <> 5"), buckets=buckets).collect()

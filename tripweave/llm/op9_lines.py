@@ -7,6 +7,12 @@ dropped from every document if it recurs across *unrelated* documents: ``MIN_DOC
 family, and no family has more than half. The family of a document is the leaf of its longest line, so copies
 and near copies of one document are one family and keep their lines, while short shared lines don't make a family.
 
+That is the rule of ``ORACLE`` and so of the registered query. It spares a line everywhere once most of its documents are
+copies of one, and a line that is the longest of its documents. With ``each_family_once``, as in the pipeline, a
+template is dropped if it recurs in more than ``MIN_DOCUMENTS`` families, however large one is, and a family
+is named by the *other* lines: of the three longest other leaves the one second in number of documents, so that neither an edit
+in a copy (a rare leaf) nor one more shared line (a frequent one) decides it.
+
 Text moves once for the lines that must be compared (one copy of each distinct line in leaves that recur) and once for
 the result; everything between is keyed by 64-bit hashes. Counts are partial before each shuffle, so a line in a third
 of all documents costs a row per task, not a hot partition.
@@ -26,6 +32,7 @@ from tripweave.llm.common import discard, keep
 LEADING = 3
 AGREE = 0.5
 MIN_DOCUMENTS = 5
+NAMING = 3                 # longest other leaves that name a family
 
 def _version() -> Column:
     return F.xxhash64("text")
@@ -46,7 +53,10 @@ def _leaf(line: Column) -> Column:
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, version, line_no, leaf, line, family of every line that isn't blank; no text."""
+    """doc_id, version, line_no, leaf, line, family, pos, longest of every line that isn't blank; no text.
+
+    ``pos`` counts a document's lines, ``longest`` has its NAMING + 1 longest distinct leaves.
+    """
     def keys(line: Column, number: Column) -> Column:
         general = masked(line)
         return F.struct(number.alias("line_no"), F.trim(line).alias("full"), F.length(general).alias("size"),
@@ -56,8 +66,11 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"),
         F.filter(F.transform(F.split("text", "\n"), keys), lambda k: k.full != "").alias("keys"))
     return (rows.select("doc_id", "version", F.xxhash64(F.array_max(F.arrays_zip("keys.size", "keys.leaf"))["leaf"]).alias("family"),
-                        F.explode("keys").alias("k"))
-            .select("doc_id", "version", "k.line_no", F.xxhash64("k.leaf").alias("leaf"), "k.line", "family"))
+                        F.transform(F.slice(F.array_distinct(F.sort_array(F.arrays_zip("keys.size", "keys.leaf"), False)["leaf"]),
+                                            1, NAMING + 1), lambda x: F.xxhash64(x)).alias("longest"),
+                        F.posexplode("keys").alias("pos", "k"))
+            .select("doc_id", "version", "k.line_no", F.xxhash64("k.leaf").alias("leaf"), "k.line", "family", "pos",
+                    "longest"))
 
 
 def templates(docs: DataFrame, lines: DataFrame, agree: float = AGREE, least: int = MIN_DOCUMENTS) -> DataFrame:
@@ -106,12 +119,35 @@ def recurring(lines: DataFrame, named: DataFrame, least: int = MIN_DOCUMENTS) ->
     return out
 
 
+def recurring_in_families(lines: DataFrame, named: DataFrame, least: int = MIN_DOCUMENTS) -> DataFrame:
+    """doc_id, version, line_no of the lines whose template recurs in more than ``least`` families, each counted once."""
+    names = keep(lines.where("pos = 0").select("doc_id", "version", F.posexplode("longest").alias("place", "name")).distinct(),
+                 "names")
+    spread_of = keep(names.groupBy("name").agg(F.count("*").alias("n")), "spread-of")
+    ranked = names.join(spread_of, "name").groupBy("doc_id", "version").agg(
+        F.sort_array(F.collect_list(F.struct("place", "n", "name"))).alias("names"))
+    other = F.slice(F.filter("names", lambda x: x["name"] != F.col("leaf")), 1, NAMING)
+    order = F.sort_array(F.transform(other, lambda x: F.struct(x["n"].alias("n"), x["name"].alias("name"))), False)
+    family = F.when(F.size(order) > 1, F.get(order, F.lit(1))).otherwise(F.get(order, F.lit(0)))["name"]
+    placed = keep(lines.join(named, ["leaf", "line"]).select("doc_id", "version", "line_no", "leaf", "template")
+                  .join(ranked.hint("merge"), ["doc_id", "version"])
+                  .select("doc_id", "version", "line_no", "leaf", "template", F.coalesce(family, F.lit(0)).alias("family")),
+                  "placed")
+    spread = keep(placed.groupBy("leaf", "template", "family").agg(F.lit(1).alias("one"))
+                  .groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") > least)
+                  .select("leaf", "template"), "spread")
+    out = keep(placed.join(spread, ["leaf", "template"]).select("doc_id", "version", "line_no"), "recurring")
+    discard(names, spread_of, placed, spread)
+    return out
+
+
 def drop_recurring_lines(docs: DataFrame, agree: float = AGREE, least: int = MIN_DOCUMENTS,
-                         dropped: str | None = None) -> DataFrame:
+                         dropped: str | None = None, each_family_once: bool = False) -> DataFrame:
     """``docs`` without the lines of recurring templates; ``dropped`` names a column for their number."""
-    lines = keep(keyed_lines(docs), "keys")
+    lines = keyed_lines(docs)
+    lines = keep(lines if each_family_once else lines.drop("pos", "longest"), "keys")
     named = templates(docs, lines, agree, least)
-    found = recurring(lines, named, least)
+    found = (recurring_in_families if each_family_once else recurring)(lines, named, least)
     discard(lines, named)
     gone = found.groupBy(
         F.col("doc_id").alias("_gone_doc"), F.col("version").alias("_gone_version")).agg(
