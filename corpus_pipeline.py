@@ -26,7 +26,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being toxic is below REJECT_AT; labels of the test fold aren't learned from."""
     model = op10_toxicity.fit(docs, labels(spark, sf_dir))
-    return docs.where(op10_toxicity.score_column(spark, model, "text") < REJECT_AT)
+    return op10_toxicity.below(docs, model, REJECT_AT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

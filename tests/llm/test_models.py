@@ -64,6 +64,44 @@ def test_expression_counts_are_documents_per_class(corpus):
     assert by_slot[int(slots[0, -1])][1] >= n_toxic > 0
 
 
+def test_expressions_do_not_share_counts(spark):
+    """More expressions than any table of fixed size had slots: each is counted for itself."""
+    letters = np.random.default_rng(1).integers(97, 123, (300_000, 12)).astype(np.uint8)
+    letters[:, -1] = 32
+    words = sorted(set(letters.tobytes().decode().split()))
+    want = {(k, w[:k]) for w in words for k in (*op10_toxicity.PREFIXES, 99)}
+    rows = [(" ".join(words[i::200]), i % 2) for i in range(200)]
+    counts = op10_toxicity.count_expressions(spark.createDataFrame(rows, "text string, toxic int")).toPandas()
+    assert len(want) > 1 << 20 and len(counts) == len(want)
+    assert len(counts[(counts.n_ordinary + counts.n_toxic) == 1]) >= len(words)
+
+
+def test_features_equal_brute_force(corpus):
+    docs, labels = corpus
+    got = {r.doc_id: r.feature for r in op10_toxicity.score_with(docs, op10_toxicity.fit(docs, labels)).collect()}
+    text = {r.doc_id: r.text.lower() for r in docs.collect()}
+    words = {i: ["".join(c if c.isalpha() else " " for c in t).split() for t in [t]][0] for i, t in text.items()}
+    levels = (*op10_toxicity.PREFIXES, 99)
+    n = {}
+    for r in labels.collect():
+        if fold(r.doc_id, 5) > 1:
+            for x in {(k, w[:k]) for w in words[r.doc_id] for k in levels}:
+                n.setdefault(x, [0, 0])[r.toxic] += 1
+    total = [sum(v[c] for v in n.values()) for c in (0, 1)]
+    left = [1 - sum(max(v[c] - 3, 0) for v in n.values()) / total[c] for c in (0, 1)]
+
+    def gain(w):
+        p = [1.0, 1.0]
+        for k in levels:
+            v = n.get((k, w[:k]))
+            if v:
+                p = [max(v[c] - 3, 0) / total[c] / (sum(v) / sum(total)) + left[c] * p[c] for c in (0, 1)]
+        return np.log1p(0.02 * (p[1] / p[0] - 1))
+
+    for i, ws in words.items():
+        assert abs(got[i] - sum(map(gain, ws)) / max(len(ws), 1)) < 1e-9
+
+
 @pytest.mark.parametrize("op", [op10_toxicity.toxicity, op1_quality.quality])
 def test_scores_of_odd_inputs(op, edges, nothing, spark):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
