@@ -91,6 +91,20 @@ def test_pieces_hold_every_id_once(edges, nothing):
     assert op5_packing.pack(nothing, JSON).count() == 0
 
 
+def test_added_tokens_are_matched_as_the_library_does(spark):
+    tokenizer, token, r = Tokenizer.from_file(JSON), "<|endoftext|>", random.Random(12)
+    assert 50256 in tokenizer.encode(token, add_special_tokens=False).ids
+    bits = [token, token, token[:-1], token[1:], "<|", "|>", " ", "\n", "a", "end", "é", "　", "'s", "1", ".", "<"]
+    rows = [token, token * 3, f"a{token}b", f" {token} ", f"{token}\n\n{token}  x", "<|endoftext", "|>"]
+    rows = list(enumerate(rows + ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(1500)]))
+    got = {}
+    for p in op5_packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), JSON).collect():
+        got.setdefault(p.doc_id, []).append((p.start, bytes(p.ids)))
+    for i, text in rows:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert b"".join(x for _, x in sorted(got[i])) == np.array(ids, "<u4").tobytes(), text
+
+
 def test_buckets_have_one_length(edges, spark, tmp_path):
     op5_packing.write_buckets(op5_packing.pack(edges, JSON), str(tmp_path / "b"))
     read = spark.read.parquet(str(tmp_path / "b"))

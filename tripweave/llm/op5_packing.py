@@ -35,8 +35,11 @@ def _coder(path: str) -> PartMemo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.single_word or t.lstrip or t.rstrip for t in added):
+        raise ValueError("added tokens that depend on the text around them can't be cut out")
     return PartMemo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(
-        [p.decode() for p in new], add_special_tokens=False)])
+        [p.decode() for p in new], add_special_tokens=False)], added=[t.content for t in added])
 
 
 def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:

@@ -2,11 +2,13 @@
 
 No match of the tokenizers' pattern reaches over, or looks back from, a place where white space follows something
 else or ASCII punctuation follows an ASCII letter or digit. So the parts between such places are encoded apart, and a
-part met before needs no second encoding. All but the encoding of new parts is NumPy over a batch of bytes.
+part met before needs no second encoding. Texts that hold an added token of the vocabulary, which the library matches
+before its pattern, are cut around it: the token is a part, and no border lies inside. All but the encoding of new parts is NumPy over a batch of bytes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -21,10 +23,11 @@ _MARK &= ~_WORD
 _REMEMBERED = 64      # bytes of the longest part that is kept for later batches
 
 
-def part_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def part_starts(data: np.ndarray, bounds: np.ndarray, whole: re.Pattern[bytes] | None = None) -> np.ndarray:
     """Where the parts of the rows start; each ends where the next one, or its row, does.
 
-    A border before ASCII white space is used unless the bytes before may be white space beyond ASCII.
+    A border before ASCII white space is used unless the bytes before may be white space beyond ASCII. Matches of ``whole``
+    within a row are parts of their own.
     """
     lo, hi = int(bounds[0]), int(bounds[-1])
     block = data[lo:hi]
@@ -39,6 +42,15 @@ def part_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     start[1:] |= _MARK[block[1:]] & _WORD[block[:-1]]
     rows = bounds[:-1][bounds[:-1] < bounds[1:]] - lo
     start[rows] = True
+    if whole is not None:
+        raw = block.tobytes()
+        if whole.search(raw):
+            for a, b in zip((bounds[:-1] - lo).tolist(), (bounds[1:] - lo).tolist()):
+                for found in whole.finditer(raw, a, b):
+                    start[found.start()] = True
+                    start[found.start() + 1:found.end()] = False
+                    if found.end() < b:
+                        start[found.end()] = True
     return np.flatnonzero(start) + lo
 
 
@@ -46,16 +58,19 @@ class PartMemo:
     """Ids of batches of text. ``encode`` turns a list of new parts (bytes) into their ids (little-endian, 32-bit).
 
     Within a batch equal parts are found by a 64-bit hash, between batches by their bytes. It starts anew when it
-    holds ``most`` parts, so its memory is bounded.
+    holds ``most`` parts, so its memory is bounded. Each of ``added``, the vocabulary's added tokens, is a part as it stands.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], Sequence[bytes]], most: int = 250_000):
+    def __init__(self, encode: Callable[[list[bytes]], Sequence[bytes]], most: int = 250_000,
+                 added: Sequence[str] = ()):
         self.encode, self.most, self.known = encode, most, {}
+        longest_first = sorted(added, key=lambda t: (-len(t), t))
+        self.whole = re.compile(b"|".join(re.escape(t.encode()) for t in longest_first)) if added else None
 
     def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows one after the other, and the row borders among them."""
         n_rows = len(bounds) - 1
-        starts = part_starts(data, bounds)
+        starts = part_starts(data, bounds, self.whole)
         if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(n_rows + 1, np.int64)
         ends = np.append(starts[1:], bounds[-1])
