@@ -190,6 +190,22 @@ def test_planted_passages_are_found(spark):
     assert not op7_passages.passages(spark.createDataFrame(sorted(left.items()), "doc_id long, text string")).collect()
 
 
+def test_passages_whose_seeds_occur_earlier_elsewhere(spark):
+    rows, want = [], set()
+    for i in range(12):
+        words = prose(7000 + i, 60).split()
+        around = [prose(7500 + 10 * i + j, 80) for j in range(5)]
+        if i % 2:                                      # each piece in an earlier document of its own
+            rows += [(100 * i + j, f"{a} {' '.join(words[12 * j:12 * j + 14])} {a}") for j, a in enumerate(around)]
+        else:                                          # 40 of the words in one earlier document
+            rows.append((100 * i, f"{around[0]} {' '.join(words[10:50])}"))
+        rows += [(100 * i + 50, f"{prose(7300 + i, 80)} {' '.join(words)}"),
+                 (100 * i + 60, f"{' '.join(words)} {prose(7400 + i, 80)}")]
+        want.add((100 * i + 60, 100 * i + 50))
+    found = op7_passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.source_id) for r in found if r.end - r.start >= 55} == want
+
+
 def test_chains_equal_brute_force():
     r = random.Random(3)
     for _ in range(60):
