@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.llm import (op1_quality, op2_jaccard, op3_language, op4_search, op5_packing, op6_bpe,
-                           op7_passages, op8_fingerprint, op9_lines, op10_toxicity)
+                           op7_passages, op8_fingerprint, op9_lines, op10_toxicity, op11_pair_bpe, op12_whitening,
+                           op13_alignment)
 from tripweave.llm.common import documents, held_out, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,24 @@ def op10_kneser_ney_toxicity(spark, sf_dir):
     scored = op10_toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir), folds=5, test_fold=0)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op11_pair_index_bpe(spark, sf_dir):
+    how = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    done = op11_pair_bpe.decode(op11_pair_bpe.encode(documents(spark, sf_dir), *how), *how)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_embedding_whitening(spark, sf_dir):
+    return op12_whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    found = op13_alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"), instead={"groups_sha256": digest})
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
