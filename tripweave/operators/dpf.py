@@ -7,8 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tripweave import fixed_values as fv
-from tripweave.operators import ordered as o
-from tripweave.operators.joins import salted_join
+from tripweave.operators import ordered as o, runs
 
 
 @dataclass(frozen=True)
@@ -33,55 +32,74 @@ DESIGN_VARIANT = DpfRules(min_requests=1, reset_run=1, use_filter_temps=False)
 
 
 def run_length_below(series: DataFrame, keys: list[str], threshold: Column,
-                     chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
-    """Longest run of consecutive values below a threshold, per group.
+                     chunk_rows: int = runs.CHUNK_ROWS) -> DataFrame:
+    """Longest run of consecutive values below a threshold, per group."""
+    return runs.longest_run(series, keys, F.col("value") < threshold, chunk_rows=chunk_rows)
 
-    The run at a row is its distance to the last row that was not below.
-    """
-    low = F.col("value") < threshold
-    placed = o.ordered_scan(series.withColumn("_low", F.coalesce(low, F.lit(False))), keys, ["seq"],
-                            o.chunk_by_sequence("seq", chunk_rows), _pos=o.position())
-    broken = o.ordered_scan(placed, keys, ["seq"], o.chunk_by_sequence("seq", chunk_rows),
-                            _break=o.latest(F.when(~F.col("_low"), F.col("_pos"))))
-    run = F.when(F.col("_low"), F.col("_pos") - F.coalesce(F.col("_break"), F.lit(0))).otherwise(0)
-    return broken.groupBy(*keys).agg(F.max(run).alias("longest_run"))
 
+def dpf_chunks(windowed: DataFrame, rules: DpfRules, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+    """One row per (trip, chunk) with everything the state needs: features and, in order, the distance readings.
 
-def dpf_features(windowed: DataFrame, rules: DpfRules) -> DataFrame:
-    """One row per trip with everything the state needs except the reset run."""
+    Rows clipped on (trip, chunk) are where they have to be already, so nothing is exchanged for it.
+    """
     s = rules.sensors
-    rows = windowed.filter(F.col("pid").isin(*sorted(set(s.values()))))
+    chunk = F.col("chunk") if "chunk" in windowed.columns else o.chunk_by_sequence("seq", chunk_rows)
+    rows = windowed.filter(F.col("pid").isin(*sorted(set(s.values())))).withColumn("chunk", chunk)
 
     def only(role, c="value"):
         return F.when(F.col("pid") == s[role], F.col(c))
 
-    return rows.groupBy("trip_id").agg(
+    readings = F.array_sort(F.collect_list(F.when(F.col("pid") == s["distance"], F.struct("seq", "value"))))
+    return rows.groupBy("trip_id", "chunk").agg(
         F.count_if((F.col("pid") == s["status"]) & (F.col("value") >= rules.level)).alias("requests"),
         F.max(only("enable")).alias("enable_max"),
         F.max(only("egt_after")).alias("egt_max"), F.max(only("nox_cat")).alias("nox_max"),
         F.max(only("inlet")).alias("inlet_max"), F.max(only("outlet")).alias("outlet_max"),
-        F.max_by(only("soot"), only("soot", "seq")).alias("soot_last"),
-        F.min_by(only("distance"), only("distance", "seq")).alias("dist_first"),
-        F.max_by(only("distance"), only("distance", "seq")).alias("dist_last"),
-        F.min(only("distance", "seq")).alias("dist_first_seq"),
-        F.count(only("distance")).alias("dist_n"))
+        F.max_by(only("soot"), only("soot", "seq")).alias("soot_last"), F.max(only("soot", "seq")).alias("soot_at"),
+        readings.alias("readings"))
+
+
+def dpf_features(chunks: DataFrame) -> DataFrame:
+    """One row per trip with everything the state needs except the reset run."""
+    first, last = F.get("readings", F.lit(0)), F.try_element_at("readings", F.lit(-1))
+    rows = chunks.select("*", first.alias("_first"), last.alias("_last"))
+    return rows.groupBy("trip_id").agg(
+        F.sum("requests").alias("requests"),
+        *[F.max(c).alias(c) for c in ("enable_max", "egt_max", "nox_max", "inlet_max", "outlet_max")],
+        F.max_by("soot_last", "soot_at").alias("soot_last"),
+        F.min_by("_first.value", "_first.seq").alias("dist_first"),
+        F.max_by("_last.value", "_last.seq").alias("dist_last"),
+        F.min("_first.seq").alias("dist_first_at"),
+        F.sum(F.size("readings")).alias("dist_n"))
 
 
 def dpf_state(windowed: DataFrame, rules: DpfRules = DpfRules(),
               chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """State per trip: idle, requested, active, completed or post_regen."""
-    features = dpf_features(windowed, rules)
-    # only trips long enough and started high enough can show a reset
+    chunks = dpf_chunks(windowed, rules, chunk_rows)
+    pieces = chunks.where(F.size("readings") > 0).select(
+        "trip_id", F.col("chunk").alias("order"), F.get("readings", F.lit(0))["seq"].alias("first_at"),
+        F.transform("readings", lambda r: r["value"]).alias("readings"))
+    return state_of(dpf_features(chunks), pieces, rules)
+
+
+def reset_runs(features: DataFrame, pieces: DataFrame, rules: DpfRules) -> DataFrame:
+    """Longest run of low distance readings behind a trip's first one, for trips that can show a reset.
+
+    ``pieces`` is (trip_id, order, first_at, readings): the readings piece by piece.
+    """
     candidates = features.filter((F.col("dist_n") >= rules.reset_run + 1)
-                                 & (F.col("dist_first") > rules.reset_from)).select(
-        "trip_id", "dist_first", "dist_first_seq")
-    readings = windowed.filter(F.col("pid") == rules.sensors["distance"]).select(
-        "trip_id", "seq", "value")
-    later = salted_join(readings, candidates, ["trip_id"], "seq").filter(
-        F.col("seq") > F.col("dist_first_seq"))
-    runs = run_length_below(later, ["trip_id"], F.col("dist_first") * F.lit(rules.reset_share),
-                            chunk_rows)
-    f = features.join(runs, "trip_id", "left")
+                                 & (F.col("dist_first") > rules.reset_from)).select("trip_id", "dist_first", "dist_first_at")
+    later = F.when(F.col("first_at") == F.col("dist_first_at"), F.slice("readings", 2, 1 << 30)).otherwise(F.col("readings"))
+    threshold = F.col("dist_first") * F.lit(rules.reset_share)
+    rows = pieces.join(candidates, "trip_id").select(
+        "trip_id", "order", runs.run_piece(F.transform(later, lambda v: v < threshold)).alias("piece"))
+    return runs.fold_by(rows, ["trip_id"], F.col("order")).select("trip_id", F.col("piece.best").alias("longest_run"))
+
+
+def state_of(features: DataFrame, pieces: DataFrame, rules: DpfRules = DpfRules()) -> DataFrame:
+    """The state from per-trip features and the pieces of the distance readings."""
+    f = features.join(reset_runs(features, pieces, rules), "trip_id", "left")
     requested = F.col("requests") >= rules.min_requests
     enabled = F.col("enable_max").isNull() | (F.col("enable_max") >= rules.level)
     hot = [F.col("egt_max") > rules.after_limit, F.col("nox_max") > rules.after_limit]

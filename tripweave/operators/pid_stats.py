@@ -57,17 +57,17 @@ def value_groups(windowed: DataFrame) -> DataFrame:
 def mode_of_groups(groups: DataFrame) -> DataFrame:
     """Most frequent 0.1-rounded value, ties to the one seen first."""
     return groups.groupBy("trip_id", "pid").agg(
-        F.max_by("rounded", F.struct(F.col("n"), -F.col("first_seq"))).alias("mode"))
+        F.min_by("rounded", F.struct(-F.col("n"), F.col("first_seq"))).alias("mode"))
 
 
-def raw_stats(windowed: DataFrame) -> DataFrame:
+def group_stats(groups: DataFrame) -> DataFrame:
     """Second level: one row per (trip, sensor)."""
-    return value_groups(windowed).groupBy("trip_id", "pid").agg(
+    return groups.groupBy("trip_id", "pid").agg(
         F.max_by("last_value", "last_seq").alias("last"),
         F.min_by("first_value", "first_seq").alias("first"),
         F.min("lo").alias("min"), F.max("hi").alias("max"),
         (F.sum("total") / F.sum("n")).alias("mean"),
-        F.max_by("rounded", F.struct(F.col("n"), -F.col("first_seq"))).alias("mode"),
+        F.min_by("rounded", F.struct(-F.col("n"), F.col("first_seq"))).alias("mode"),
         F.sum("n").alias("samples"),
         F.count(F.lit(1)).alias("distinct_rounded"),
         F.bool_and("whole").alias("whole"),
@@ -101,7 +101,12 @@ def pid_stats(windowed: DataFrame, facts: DataFrame, slugs: DataFrame,
 
     ``facts`` is (trip_id, pid, first_seq, unit) over the whole file.
     """
-    stats = raw_stats(windowed).join(facts, ["trip_id", "pid"])
+    return stats_of_groups(value_groups(windowed), facts, slugs, rounded)
+
+
+def stats_of_groups(groups: DataFrame, facts: DataFrame, slugs: DataFrame, rounded: bool = True) -> DataFrame:
+    """``pid_stats`` from first-level groups; first_seq and last_seq may be of any ordered type."""
+    stats = group_stats(groups).join(facts, ["trip_id", "pid"])
     stats = first_per_slug(with_slug(stats, slugs))
     span = F.when(F.col("samples") > 1, F.col("last_sec") - F.col("first_sec")).otherwise(1.0)
     length = F.greatest(F.col("t_end") - F.col("t_start"), F.lit(1.0))
