@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tripweave.llm.common import keep, slices, text_buffer, texts
 from tripweave.llm.hashing import word_hashes
-from tripweave.llm.op11_pair_bpe import Vocabulary
+from tripweave.llm.op11_pair_bpe import PairIndex, Vocabulary
 
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _REMEMBERED = 64                    # bytes of the longest part that is kept for later slices
 _TOGETHER = 500                     # parts that are encoded in one call
 _MARK = "▁".encode()                # the second tokenizer takes it for a space
@@ -65,7 +65,7 @@ class PairOfTokenizers:
     piece of the second has a space behind another character, which is checked when it is read.
     """
 
-    def __init__(self, a_path: str, b_path: str, most: int = 150_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"                    # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -77,7 +77,9 @@ class PairOfTokenizers:
         vocabulary = Vocabulary(a_path)
         ends = vocabulary.ends.tolist()
         raw = vocabulary.raw.tobytes()
-        self.a = Tokens([raw[e - n:e] for e, n in zip(ends, vocabulary.lengths.tolist())])
+        tokens = [raw[e - n:e] for e, n in zip(ends, vocabulary.lengths.tolist())]
+        self.a = Tokens(tokens)
+        self.many = _by_ranks(vocabulary, tokens) or (lambda text: self.first.encode(text, add_special_tokens=False).ids)
         self.second = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         if any(x != "▁" and y == "▁" for p in pieces for x, y in zip(p, p[1:])):
@@ -104,7 +106,7 @@ class PairOfTokenizers:
             some = joint[k:k + _TOGETHER]
             text = b"".join([parts[i] for i in some]).decode()
             ends = np.cumsum([len(parts[i]) for i in some])
-            first = _cut(self.a, self.first.encode(text, add_special_tokens=False).ids, ends)
+            first = _cut(self.a, self.many(text), ends)
             second = _cut(self.b, self.second.encode(text[1:]), ends)
             if first is None or second is None:
                 single += some
@@ -146,6 +148,25 @@ class PairOfTokenizers:
         return out
 
 
+def _by_ranks(vocabulary: Vocabulary, tokens: list[bytes]):
+    """A faster encoder of the same ids, or None: merging by ranks of whole tokens instead of by listed pairs.
+
+    Both give the same if later merges have larger ids and each token's own bytes encode to it, as then any two neighbours
+    that make a token are the pair it was learned from.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    own = np.array(sorted({*vocabulary.first.tolist(), *vocabulary.made.tolist()}), np.int64)
+    ids, n = PairIndex([tokens[i] for i in own.tolist()], vocabulary).run()
+    if (np.diff(vocabulary.made) <= 0).any() or (n != 1).any() or not np.array_equal(ids, own) \
+            or vocabulary.first.max() > vocabulary.made.min(initial=1 << 30):
+        return None
+    ranks = {tokens[i]: i for i in own.tolist()}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={}).encode_ordinary
+
+
 def _cut(tokens: Tokens, ids: list[int], ends: np.ndarray) -> list[bytes] | None:
     """The ids of parts that end at these bytes; None if a token reaches over an end."""
     ids = np.array(ids, "<i4")
