@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.operators import reconcile as rc
+from tripweave.operators import folds, reconcile as rc
 
 T0 = datetime(2026, 1, 10, 8, 0, 0)
 TRIP = ("vehicle_id string, trip_id long, start timestamp_ntz, end timestamp_ntz, pid_count long, "
@@ -60,11 +60,32 @@ def test_overlaps_random(spark):
             mine.append((f"v{v}", v * 1000 + k, s, e, rnd.randrange(4), float(rnd.randrange(3)), 5.0))
         rows += mine
         want.update(losers(mine))
-    for width in (600.0, 1e9):
-        got = rc.overlap_dedup(trips_of(spark, rows), width).collect()
+    for segment_rows in (7, 10**6):
+        got = rc.overlap_dedup(trips_of(spark, rows), segment_rows).collect()
         assert {r.trip_id: r.winner_id for r in got} == want
 
 
+def test_one_island_over_many_segments(spark):
+    """A recording that covers all others reaches through every segment; then a richer one in the middle wins."""
+    rows = [("v", 0, 0, 100_000, 5, 1.0, 5.0)] + [("v", k, 10 * k, 10 * k + 5, 1, 1.0, 5.0) for k in range(1, 100)]
+    assert {r.trip_id: r.winner_id for r in rc.overlap_dedup(trips_of(spark, rows), 8).collect()} == losers(rows) \
+        == {k: 0 for k in range(1, 100)}
+    rows[50] = ("v", 50, 500, 100_000, 9, 1.0, 5.0)
+    assert {r.trip_id: r.winner_id for r in rc.overlap_dedup(trips_of(spark, rows), 8).collect()} == losers(rows)
+
+
+def test_segments_are_of_one_size_on_one_hot_vehicle(spark):
+    rows = [("v", k, (k * 7919) % 3000, None, 1, 1.0, 5.0) for k in range(2000)]
+    laid, _ = folds.segments(trips_of(spark, rows).select("vehicle_id", "start", "trip_id"),
+                             ["vehicle_id", "start", "trip_id"], 100)
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert sum(sizes) == 2000 and len(sizes) >= 18 and max(sizes) <= 200
+
+
+def test_no_rows_make_no_decisions(spark):
+    assert rc.overlap_dedup(trips_of(spark, [])).collect() == [] and rc.leg_dedup(legs_of(spark, [])).collect() == []
+
+
 def test_overlap_pairs_random(spark):
     rnd = random.Random(22)
     rows = [("v", k, (s := rnd.randrange(20_000)), s + rnd.randrange(1, 3000), 1, 1.0, 1.0) for k in range(80)]
@@ -135,7 +156,7 @@ def test_duplicate_legs_random(spark):
                 for k in range(rnd.choice([1, 2, 70]))]
         rows += mine
         want.update(duplicates(mine, 600, 0.10))
-    got = rc.leg_dedup(legs_of(spark, rows), width=900.0).collect()
+    got = rc.leg_dedup(legs_of(spark, rows), segment_rows=9).collect()
     assert {r.leg_id: r.kept_id for r in got} == want
 
 
@@ -168,7 +189,7 @@ def test_nearest_pairs_random(spark):
     rnd = random.Random(41)
     trips = [("v", k, rnd.randrange(20_000), None, 1, 1.0, rnd.choice([0.0, 5.0, 6.5])) for k in range(60)]
     legs = [("v", 500 + k, 3600 + rnd.randrange(20_000), rnd.choice([0.0, 5.0, 6.0]), 1.0) for k in range(60)]
-    got = rc.correlate_nearest(trips_of(spark, trips), legs_of(spark, legs), width=2000.0).collect()
+    got = rc.correlate_nearest(trips_of(spark, trips), legs_of(spark, legs), segment_rows=11).collect()
     assert {r.trip_id: r.leg_id for r in got if r.trip_id is not None} == nearest(trips, legs, 600, 0.20)
     taken = {r.leg_id for r in got if r.trip_id is not None and r.leg_id}
     assert {r.leg_id for r in got if r.trip_id is None} == {str(g[1]) for g in legs} - taken

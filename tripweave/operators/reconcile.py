@@ -32,36 +32,14 @@ def _zero(c: str) -> Column:
 
 # -- overlapping recordings ----------------------------------------------------
 
-def overlap_islands(trips: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
-    """Recordings of a vehicle chained by overlap: island = gap-free run in time.
-
-    A recording starting at or after every earlier end opens a new island, and no
-    decision ever crosses that cut.
-    """
+def overlap_dedup(trips: DataFrame, segment_rows: int = folds.SEGMENT_ROWS) -> DataFrame:
+    """(vehicle_id, trip_id, winner_id): recordings dropped for a richer one."""
     rows = trips.filter(F.col("start").isNotNull()).select(
-        "vehicle_id", "trip_id", "start", whole_seconds("start").alias("start_s"),
-        whole_seconds("end").alias("end_s"), _zero("pid_count").alias("pids"),
-        _zero("duration_min").alias("dur"))
-    scan = dict(keys=["vehicle_id"], order=["start", "trip_id"], chunk=trip_chunk(width=width))
-    reach = o.ordered_scan(rows, **scan, reach=o.max_before("end_s"))
-    opens = F.when(F.col("start_s") < F.col("reach"), 0).otherwise(1)
-    return _islands(reach, opens, scan).drop("reach")
-
-
-def _islands(rows: DataFrame, opens: Column, scan: dict) -> DataFrame:
-    """Number the islands; ``alone`` marks a row that opens one nobody joins."""
-    cut = o.ordered_scan(rows.withColumn("opens", opens), **scan,
-                         island=o.running_sum("opens"), _next=o.following("opens"))
-    alone = (F.col("opens") == 1) & (F.coalesce("_next", F.lit(1)) == 1)
-    return cut.withColumn("alone", alone).drop("opens", "_next")
-
-
-def overlap_dedup(trips: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
-    """(vehicle_id, island, trip_id, winner_id): recordings dropped for a richer one."""
-    rows = overlap_islands(trips, width).filter(~F.col("alone")).drop("alone", "start")
+        "vehicle_id", whole_seconds("start").alias("start_s"), "trip_id", whole_seconds("end").alias("end_s"),
+        _zero("pid_count").alias("pids"), _zero("duration_min").alias("dur"))
     kind = dict(rows.dtypes)["trip_id"]
-    return folds.fold(rows, ["vehicle_id", "island"], ["start_s", "trip_id"], folds.overlap_losers,
-                      f"trip_id {kind}, winner_id {kind}")
+    return folds.segmented_fold(rows, "vehicle_id", ["vehicle_id", "start_s", "trip_id"], folds.OverlapLosers,
+                                f"trip_id {kind}, winner_id {kind}", segment_rows)
 
 
 def overlap_pairs(trips: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
@@ -338,60 +316,39 @@ def uncorrelated_report(trips: DataFrame, legs: DataFrame, candidates: DataFrame
 
 # -- duplicate legs ------------------------------------------------------------
 
-def leg_islands(legs: DataFrame, window_s: float = DEDUPE_WINDOW_S,
-                width: float = TRIP_CHUNK_S) -> DataFrame:
-    """Legs cut where the start gap exceeds the window."""
-    rows = legs.filter(F.col("start").isNotNull()).select(
-        "vehicle_id", "leg_id", "start", epoch_seconds("start").alias("start_s"),
-        _zero("distance_km").alias("dist"))
-    scan = dict(keys=["vehicle_id"], order=["start", "leg_id"], chunk=trip_chunk(width=width))
-    linked = o.ordered_scan(rows, **scan, _prev=o.previous("start_s"))
-    opens = F.when(F.col("start_s") - F.col("_prev") <= window_s, 0).otherwise(1)
-    return _islands(linked, opens, scan).drop("_prev")
-
-
-def leg_dedup(legs: DataFrame, window_s: float = DEDUPE_WINDOW_S,
-              tolerance: float = DEDUPE_DISTANCE, width: float = TRIP_CHUNK_S) -> DataFrame:
+def leg_dedup(legs: DataFrame, window_s: float = DEDUPE_WINDOW_S, tolerance: float = DEDUPE_DISTANCE,
+              segment_rows: int = folds.SEGMENT_ROWS) -> DataFrame:
     """(vehicle_id, leg_id, kept_id): legs repeating a kept one."""
-    rows = leg_islands(legs, window_s, width).filter(~F.col("alone")).drop("alone", "start")
+    rows = legs.filter(F.col("start").isNotNull()).select(
+        "vehicle_id", epoch_seconds("start").alias("start_s"), "leg_id", _zero("distance_km").alias("dist"))
     kind = dict(rows.dtypes)["leg_id"]
 
-    def step(part, at):
-        return folds.duplicate_legs(part, at, window_s, tolerance)
+    def make(at, state):
+        return folds.DuplicateLegs(at, state, window_s, tolerance)
 
-    return folds.fold(rows, ["vehicle_id", "island"], ["start_s", "leg_id"], step,
-                      f"leg_id {kind}, kept_id {kind}").drop("island")
+    return folds.segmented_fold(rows, "vehicle_id", ["vehicle_id", "start_s", "leg_id"], make,
+                                f"leg_id {kind}, kept_id {kind}", segment_rows)
 
 
 # -- one-to-one nearest matching -----------------------------------------------
 
 def correlate_nearest(trips: DataFrame, legs: DataFrame, offset_s: float = 3600.0,
                       window_s: float = 600.0, tolerance: float = 0.20, high_s: float = 180.0,
-                      width: float = TRIP_CHUNK_S) -> DataFrame:
-    """Greedy one-to-one pairs, leftovers of both feeds included.
-
-    Rows of both feeds further apart than the window cannot meet, so the merged
-    time line is cut there; each piece is decided on its own.
-    """
+                      segment_rows: int = folds.SEGMENT_ROWS) -> DataFrame:
+    """Greedy one-to-one pairs over the merged time line of both feeds, leftovers included."""
     a = trips.select("vehicle_id", F.lit(0).alias("kind"), F.col("trip_id").cast("string").alias("ident"),
                      "start", _zero("distance_km").alias("dist"))
     shifted = F.timestamp_add("SECOND", F.lit(-int(offset_s)), F.col("start"))
     b = legs.select("vehicle_id", F.lit(1).alias("kind"), F.col("leg_id").cast("string").alias("ident"),
                     shifted.alias("start"), _zero("distance_km").alias("dist"))
-    both = a.unionByName(b).filter(F.col("start").isNotNull()).withColumn(
-        "start_s", epoch_seconds("start"))
-    scan = dict(keys=["vehicle_id"], order=["start", "kind", "ident"], chunk=trip_chunk(width=width))
-    linked = o.ordered_scan(both, **scan, _prev=o.previous("start_s"))
-    opens = F.when(F.col("start_s") - F.col("_prev") <= window_s, 0).otherwise(1)
-    rows = _islands(linked, opens, scan).filter(~F.col("alone")).select(
-        "vehicle_id", "island", "kind", "ident", "start_s", "dist")
-
-    def step(part, at):
-        return folds.nearest_pairs(part, at, window_s, tolerance)
-
-    pairs = materialize(folds.fold(rows, ["vehicle_id", "island"], ["start_s", "kind", "ident"], step,
-                                   "trip_id string, leg_id string, delta_s double")
-                        .drop("vehicle_id", "island"), "pairs")
+    rows = a.unionByName(b).filter(F.col("start").isNotNull()).select(
+        "vehicle_id", epoch_seconds("start").alias("start_s"), "kind", "ident", "dist")
+
+    def make(at, state):
+        return folds.NearestPairs(at, state, window_s, tolerance)
+
+    pairs = folds.segmented_fold(rows, "vehicle_id", ["vehicle_id", "start_s", "kind", "ident"], make,
+                                 "trip_id string, leg_id string, delta_s double", segment_rows).drop("vehicle_id")
     left = trips.select("vehicle_id", F.col("trip_id").cast("string").alias("trip_id")).join(
         pairs, "trip_id", "left")
     confidence = (F.when(F.col("leg_id").isNull(), "none")
@@ -446,7 +403,7 @@ def reconcile(trips: DataFrame, legs: DataFrame, gap_s: float = MERGE_GAP_S,
     """
     if store_inputs:
         trips, legs = materialize(trips, "trips"), materialize(legs, "legs")
-    removed = materialize(overlap_dedup(trips), "removed")
+    removed = overlap_dedup(trips)
     kept = absorbed_except(trips, removed)
     chains = materialize(sensor_chains(kept, gap_s), "chains")
     merged = materialize(merge_trips(kept, chains), "merged")
@@ -454,7 +411,7 @@ def reconcile(trips: DataFrame, legs: DataFrame, gap_s: float = MERGE_GAP_S,
                                             bucket_s), "assigned")
     enriched = enrich_update(merged, leg_aggregate(legs, assigned))
     free = standalone_anti(legs, assigned, "leg_id")
-    duplicates = materialize(leg_dedup(free, dedupe_s), "duplicates")
+    duplicates = leg_dedup(free, dedupe_s)
     return Reconciled(enriched, standalone_anti(free, duplicates, "leg_id"), removed, chains,
                       assigned, duplicates)
 
