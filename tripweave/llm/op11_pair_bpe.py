@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tripweave.llm.common import slices, text_buffer, texts
 from tripweave.llm.tokenizing import PartMemo
 
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _NONE = np.iinfo(np.int32).max        # the rank of a pair that is never merged
 
 
