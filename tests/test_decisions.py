@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.operators import folds, reconcile as rc
+from tripweave.operators import reconcile as rc
+from tripweave.operators.ordered import equi_depth
 
 T0 = datetime(2026, 1, 10, 8, 0, 0)
 TRIP = ("vehicle_id string, trip_id long, start timestamp_ntz, end timestamp_ntz, pid_count long, "
@@ -76,9 +77,8 @@ def test_one_island_over_many_segments(spark):
 
 def test_segments_are_of_one_size_on_one_hot_vehicle(spark):
     rows = [("v", k, (k * 7919) % 3000, None, 1, 1.0, 5.0) for k in range(2000)]
-    laid, _ = folds.segments(trips_of(spark, rows).select("vehicle_id", "start", "trip_id"),
-                             ["vehicle_id", "start", "trip_id"], 100)
-    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    laid = equi_depth(trips_of(spark, rows).select("vehicle_id", "start", "trip_id"), ["vehicle_id", "start", "trip_id"], 100)
+    sizes = [r["count"] for r in laid.groupBy("chunk").count().collect()]
     assert sum(sizes) == 2000 and len(sizes) >= 18 and max(sizes) <= 200
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripweave import fixed_values as fv
 from tripweave.functions import color_ramp
 from tripweave.operators import ordered as o
+from tripweave.operators.joins import chunked_join
 
 TIME_CHUNK_S = 600.0
 
@@ -58,14 +59,25 @@ def as_of_fix(times: DataFrame, fixes: DataFrame, width: float = TIME_CHUNK_S) -
 
 def pid_segments(valued: DataFrame, epsilon: float = 1e-9,
                  chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
-    """Consecutive point pairs with the first point's value, its share and colour."""
-    ends = valued.groupBy("trip_id").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    nxt = o.ordered_scan(valued, ["trip_id"], ["idx"], o.chunk_by_sequence("idx", chunk_rows),
-                         lat2=o.following("lat"), lon2=o.following("lon"))
+    """Consecutive point pairs with the first point's value, its share and colour.
+
+    A trip's extremes come along with the neighbours over the cuts, so points meet by (trip, chunk) only.
+    """
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = o.chunk_scan(
+        valued, ["trip_id"], ["idx"], o.chunk_by_sequence("idx", chunk_rows),
+        local=[{f"_n_{c}": lambda w, c=c: F.lead(c).over(w) for c in ("lat", "lon")}
+               | {"_last": lambda w: F.lead(F.lit(1)).over(w).isNull()}],
+        summary={"_f_lat": F.min_by("lat", "idx"), "_f_lon": F.min_by("lon", "idx"), "_c_lo": F.min("value"), "_c_hi": F.max("value")},
+        carried=[{"_a_lat": lambda w: F.lead("_f_lat").over(w), "_a_lon": lambda w: F.lead("_f_lon").over(w),
+                  "_t_lo": lambda w: F.min("_c_lo").over(w.rowsBetween(*whole)),
+                  "_t_hi": lambda w: F.max("_c_hi").over(w.rowsBetween(*whole))}],
+        out={"lat2": F.when(F.col("_last"), F.col("_a_lat")).otherwise(F.col("_n_lat")),
+             "lon2": F.when(F.col("_last"), F.col("_a_lon")).otherwise(F.col("_n_lon")),
+             "_lo": F.col("_t_lo"), "_hi": F.col("_t_hi")})
     norm = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(epsilon))
-    return (nxt.filter(F.col("lat2").isNotNull()).join(ends, "trip_id")
-            .withColumn("normalized", norm).withColumn("color", color_ramp("normalized"))
-            .drop("_lo", "_hi"))
+    return (nxt.filter(F.col("lat2").isNotNull()).withColumn("normalized", norm)
+            .withColumn("color", color_ramp("normalized")).drop("_lo", "_hi"))
 
 
 @dataclass(frozen=True)
@@ -140,5 +152,5 @@ def point_features(events: DataFrame) -> DataFrame:
 
 
 def hydrate_tracks(trips: DataFrame, points: DataFrame) -> DataFrame:
-    """Track points with their trip's summary columns."""
-    return points.join(trips, "trip_id")
+    """Track points with their trip's summary columns; a long track spreads over its pieces."""
+    return chunked_join(points, trips, "trip_id", "idx")

@@ -13,10 +13,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from tripweave.operators.durable import new_folder
 
 CHUNK_ROWS = 65_536
 _CHUNK = "_chunk"
+#: the column in which rows that were laid out already say their chunk
+LAID = "chunk"
 
 
 def chunk_by_sequence(seq: str = "seq", rows: int = CHUNK_ROWS) -> Column:
@@ -30,6 +34,22 @@ def chunk_by_time(seconds: Column | str, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("bigint")
 
 
+def equi_depth(rows: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows stored by ranges of ``order`` (keys first, unique), about ``chunk_rows`` in each; ``chunk`` is the range.
+
+    The number of ranges comes from the number of rows, so a chunk stays the same size whatever the keys, times or nulls
+    are: one hot key, or rows without a time, spread over as many chunks as they fill.
+    """
+    spark, raw, path = rows.sparkSession, new_folder(rows.sparkSession, "rows"), new_folder(rows.sparkSession, "ranges")
+    rows.write.parquet(raw)                              # counted, sampled and laid out, so computed once
+    stored = spark.read.schema(rows.schema).parquet(raw)
+    n = max(1, -(-stored.count() // chunk_rows))
+    if n == 1:
+        return stored.withColumn(LAID, F.lit(0))
+    stored.repartitionByRange(n, *order).withColumn(LAID, F.spark_partition_id()).write.partitionBy(LAID).parquet(path)
+    return spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(LAID, T.IntegerType())])).parquet(path)
+
+
 @dataclass(frozen=True)
 class Step:
     """One output of an ordered scan."""
@@ -131,17 +151,49 @@ def group_size() -> Step:
         merge=lambda loc, car, first, last: car)
 
 
-def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
+def _laid_out(df: DataFrame, keys: list[str], chunk: Column | None) -> DataFrame:
+    """df with its chunk, its rows together by (keys, chunk): everything after this shares the one exchange of rows."""
+    if chunk is None:
+        return df.withColumn(_CHUNK, F.col(LAID))
+    return df.withColumn(_CHUNK, chunk).repartition(*keys, _CHUNK)
+
+
+def chunk_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
+               local: Sequence[dict], summary: dict, carried: Sequence[dict], out: dict) -> DataFrame:
+    """Columns that depend on each other over the whole order, with one exchange of the rows.
+
+    ``local`` are stages of expressions of the window inside a chunk, each of which may use the ones before;
+    ``_first`` says whether a row is its chunk's first.  ``summary`` aggregates a chunk.  ``carried`` are stages over a
+    group's chunks, which see the summaries in order.  ``out`` combines both.  ``chunk`` None takes the column ``chunk``
+    of rows that are hashed by (keys, chunk) already.
+    """
+    keys, order, names = list(keys), list(order), df.columns
+    rows_w, chunk_w = _windows(keys, order)
+    rows = _laid_out(df, keys, chunk).withColumn("_first", F.row_number().over(rows_w) == 1)
+    for stage in local:
+        rows = rows.select("*", *[make(rows_w).alias(n) for n, make in stage.items()])
+    chunks = rows.groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
+    for stage in carried:
+        chunks = chunks.select("*", *[make(chunk_w).alias(n) for n, make in stage.items()])
+    return rows.join(chunks, [*keys, _CHUNK]).select(*names, *[c.alias(n) for n, c in out.items()])
+
+
+def first_key(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
+def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None,
                  **steps: Step) -> DataFrame:
     """Add one column per step, exact over the whole group.
 
-    ``order`` must be unique inside a group and ``chunk`` non-decreasing in it;
-    keys must not be null.
+    ``order`` must be unique inside a group and ``chunk`` non-decreasing in it; keys must not be null.  ``chunk`` None takes
+    the column ``chunk`` of rows that are hashed by (keys, chunk) already.
     """
     keys, order = list(keys), list(order)
-    df = df.withColumn(_CHUNK, chunk)
+    kept = df.columns
     rows_w, chunk_w = _windows(keys, order)
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    df = _laid_out(df, keys, chunk)
+    key = first_key(order)
 
     aggs, carried = [], []
     for name, step in steps.items():
@@ -157,5 +209,4 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk
     joined = local.join(summary, [*keys, _CHUNK])
     outs = [s.merge(F.col(f"_{n}_here"), F.col(f"_{n}_in"), F.col("_is_first"),
                     F.col("_is_last")).alias(n) for n, s in steps.items()]
-    kept = [c for c in df.columns if c != _CHUNK]
     return joined.select(*kept, *outs)

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripweave.functions import dst_seconds, epoch_seconds, nonzero, py_round, ratio, settled, trip_cost, whole_seconds
 from tripweave.operators import folds, ordered as o
 from tripweave.operators.durable import materialize
-from tripweave.operators.trends import TRIP_CHUNK_S, trip_chunk
+from tripweave.operators.joins import chunked_join
 from tripweave.operators.trips import session_min_filter
 
 MERGE_GAP_S = 300.0
@@ -73,20 +73,26 @@ def absorbed_except(trips: DataFrame, decisions: DataFrame, key: str = "trip_id"
 
 # -- chains --------------------------------------------------------------------
 
-def sensor_chains(trips: DataFrame, gap_s: float = MERGE_GAP_S,
-                  width: float = TRIP_CHUNK_S) -> DataFrame:
+def sensor_chains(trips: DataFrame, gap_s: float = MERGE_GAP_S, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Every trip with its chain: (vehicle_id, trip_id, start, chain, members, primary_id).
 
     Consecutive trips chain when the next starts 0 to ``gap_s`` after the end of
     the one before, both without their fractions; a negative or unknown gap breaks.
     """
-    rows = trips.select("vehicle_id", "trip_id", "start", "end")
-    scan = dict(keys=["vehicle_id"], order=["start", "trip_id"], chunk=trip_chunk(width=width))
-    gap = whole_seconds("start") - whole_seconds("_prev_end")
-    linked = o.ordered_scan(rows, **scan, _prev_end=o.previous("end")).withColumn(
-        "opens", F.when(gap.between(0.0, gap_s), 0).otherwise(1))
-    chained = o.ordered_scan(linked, **scan, chain=o.running_sum("opens")).drop(
-        "opens", "_prev_end", "end")
+    order, before = ["start", "trip_id"], Window.unboundedPreceding
+    rows = trips.select("vehicle_id", "trip_id", "start", whole_seconds("start").alias("_s"), whole_seconds("end").alias("_e"))
+    key = o.first_key(order)
+    joins = lambda a, b: F.coalesce((F.col(a) - F.col(b)).between(0.0, gap_s), F.lit(False))
+    chained = o.chunk_scan(
+        o.equi_depth(rows, ["vehicle_id", *order], chunk_rows), ["vehicle_id"], order, F.col(o.LAID),
+        local=[{"_p": lambda w: F.lag("_e").over(w)},
+               {"_opens": lambda w: (~F.col("_first") & ~joins("_s", "_p")).cast("long")},
+               {"_upto": lambda w: F.sum("_opens").over(w.rowsBetween(before, 0))}],
+        summary={"_n": F.sum("_opens"), "_f": F.min_by("_s", key), "_l": F.max_by("_e", key)},
+        carried=[{"_b": lambda w: F.lag("_l").over(w)}, {"_head": lambda w: (~joins("_f", "_b")).cast("long")},
+                 {"_before": lambda w: F.coalesce(F.sum(F.col("_n") + F.col("_head")).over(w.rowsBetween(before, -1)), F.lit(0))}],
+        out={"chain_no": F.col("_before") + F.col("_head") + F.col("_upto")})
+    chained = chained.select("vehicle_id", "trip_id", "start", F.col("chain_no").alias("chain"))
     heads = chained.groupBy("vehicle_id", "chain").agg(
         F.min_by("trip_id", F.struct("start", "trip_id")).alias("primary_id"),
         F.count(F.lit(1)).alias("members"))
@@ -154,11 +160,11 @@ def tracks_concat(tracks: DataFrame, members: DataFrame,
     index is an addition and no track is rebuilt.
     """
     sizes = tracks.groupBy("trip_id").agg(F.count(F.lit(1)).alias("points"))
-    placed = o.ordered_scan(
-        members.join(sizes, "trip_id", "left").withColumn("points", F.coalesce("points", F.lit(0))),
-        ["primary_id"], ["start", "trip_id"], trip_chunk(), upto=o.running_sum("points"))
+    rows = members.join(sizes, "trip_id", "left").withColumn("points", F.coalesce("points", F.lit(0)))
+    placed = o.ordered_scan(o.equi_depth(rows, ["primary_id", "start", "trip_id"], chunk_rows), ["primary_id"],
+                            ["start", "trip_id"], F.col(o.LAID), upto=o.running_sum("points"))
     offsets = placed.select("trip_id", "primary_id", (F.col("upto") - F.col("points")).alias("shift"))
-    return tracks.join(offsets, "trip_id").select(
+    return chunked_join(tracks, offsets, "trip_id", "idx", chunk_rows).select(
         F.col("primary_id").alias("trip_id"), (F.col("idx") + F.col("shift")).alias("idx"),
         "lat", "lon")
 

@@ -159,6 +159,7 @@ def stable(c: str, kind: str) -> Column:
 
 def vehicle_facts(trips: DataFrame) -> DataFrame:
     """One row per vehicle with every fact the trend rules read."""
+    trips = tr.laid_out(trips)                          # stored once for all the passes below
     sensor = trips.filter(is_sensor())
     key = F.struct("start", "trip_id")
     known = lambda c: F.when(F.col(c).isNotNull(), key)

@@ -107,8 +107,8 @@ def windowed_samples(samples: DataFrame, anchors=fv.ENGINE_ANCHORS, corrections=
 
 
 def chunk_of(rows: DataFrame, chunk_rows: int = o.CHUNK_ROWS):
-    """The chunk rows were joined on already, so its exchange is used again."""
-    return F.col("chunk") if "chunk" in rows.columns else o.chunk_by_sequence("seq", chunk_rows)
+    """None for rows that were joined on (trip, chunk) already: their exchange is used again."""
+    return None if "chunk" in rows.columns else o.chunk_by_sequence("seq", chunk_rows)
 
 
 def gps_fixes(samples: DataFrame) -> DataFrame:
@@ -116,19 +116,35 @@ def gps_fixes(samples: DataFrame) -> DataFrame:
     return samples.filter((F.col("lat") != 0.0) | (F.col("lon") != 0.0))
 
 
+def _tracked(fixes: DataFrame, chunk_rows: int) -> DataFrame:
+    """Fixes that differ from the fix just before them in the trip, with their index from 0."""
+    before = Window.unboundedPreceding
+    same = lambda a, b: F.col(f"{a}_lat").eqNullSafe(F.col(f"{b}_lat")) & F.col(f"{a}_lon").eqNullSafe(F.col(f"{b}_lon"))
+    scanned = o.chunk_scan(
+        fixes, ["trip_id"], ["seq"], chunk_of(fixes, chunk_rows),
+        local=[{"_p_lat": lambda w: F.lag("lat").over(w), "_p_lon": lambda w: F.lag("lon").over(w)},
+               {"_new": lambda w: (~F.col("_first") & ~(F.col("_p_lat").eqNullSafe(F.col("lat"))
+                                                        & F.col("_p_lon").eqNullSafe(F.col("lon")))).cast("long")},
+               {"_upto": lambda w: F.sum("_new").over(w.rowsBetween(before, 0))}],
+        summary={"_n": F.sum("_new"), "_f_lat": F.min_by("lat", "seq"), "_f_lon": F.min_by("lon", "seq"),
+                 "_l_lat": F.max_by("lat", "seq"), "_l_lon": F.max_by("lon", "seq")},
+        carried=[{"_any": lambda w: F.lag(F.lit(1)).over(w), "_b_lat": lambda w: F.lag("_l_lat").over(w),
+                  "_b_lon": lambda w: F.lag("_l_lon").over(w)},
+                 {"_head": lambda w: (F.col("_any").isNull() | ~same("_f", "_b")).cast("long")},
+                 {"_before": lambda w: F.coalesce(F.sum(F.col("_n") + F.col("_head")).over(w.rowsBetween(before, -1)), F.lit(0))}],
+        out={"_kept": F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_new")) == 1,
+             "idx": F.col("_before") + F.col("_head") + F.col("_upto") - 1})
+    return scanned.filter("_kept").drop("_kept")
+
+
 def gps_dedup(fixes: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Drop fixes equal to the fix just before them in the trip."""
-    scanned = o.ordered_scan(fixes, ["trip_id"], ["seq"], chunk_of(fixes, chunk_rows),
-                             prev_lat=o.previous("lat"), prev_lon=o.previous("lon"))
-    same = F.col("prev_lat").eqNullSafe(F.col("lat")) & F.col("prev_lon").eqNullSafe(F.col("lon"))
-    return scanned.filter(~same).drop("prev_lat", "prev_lon")
+    return _tracked(fixes, chunk_rows).drop("idx")
 
 
 def tracks(fixes: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Long form of the GPS track: (trip_id, idx from 0, seq, sec, lat, lon)."""
-    kept = gps_dedup(fixes, chunk_rows)
-    return (o.ordered_scan(kept, ["trip_id"], ["seq"], chunk_of(kept, chunk_rows), idx=o.position())
-            .select("trip_id", (F.col("idx") - 1).alias("idx"), "seq", "sec", "lat", "lon"))
+    return _tracked(fixes, chunk_rows).select("trip_id", "idx", "seq", "sec", "lat", "lon")
 
 
 def gps_bbox(fixes: DataFrame) -> DataFrame:

@@ -1,31 +1,30 @@
 """Per-vehicle series and trend aggregates over the trip table.
 
 Counts, sums and extremes are plain aggregates.  Where a vehicle's trips must be
-ordered, ``ordered_scan`` cuts the order by time, so one vehicle (or one default
+ordered, they are laid out by ranges of equal size, so one vehicle (or one default
 vehicle id) holding many trips is not sorted in a single task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tripweave.functions import day_month, epoch_seconds, py_round, ratio, settled
 from tripweave.operators import ordered as o
 from tripweave.operators.joins import salted_join
 from tripweave.operators.trips import is_sensor, plausible_economy
 
-TRIP_CHUNK_S = 30 * 86_400.0
+ORDER = ["start", "trip_id"]
 
 
-def trip_chunk(start: str = "start", width: float = TRIP_CHUNK_S) -> Column:
-    """Time chunk of a trip; trips without a start share the first one."""
-    return F.coalesce(o.chunk_by_time(epoch_seconds(start), width), F.lit(-(2 ** 62)))
+def laid_out(trips: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+    """Trips stored by equal ranges of (vehicle, start, id); scans of what is filtered from it share the layout."""
+    return trips if o.LAID in trips.columns else o.equi_depth(trips, ["vehicle_id", *ORDER], chunk_rows)
 
 
-def with_rank(rows: DataFrame, width: float = TRIP_CHUNK_S) -> DataFrame:
+def with_rank(rows: DataFrame) -> DataFrame:
     """pos (1 = oldest) and size of each vehicle's series, ordered by (start, trip_id)."""
-    return o.ordered_scan(rows, ["vehicle_id"], ["start", "trip_id"],
-                          trip_chunk(width=width), pos=o.position(), size=o.group_size())
+    return o.ordered_scan(laid_out(rows), ["vehicle_id"], ORDER, F.col(o.LAID), pos=o.position(), size=o.group_size())
 
 
 def recent_vs_prior(rows: DataFrame, value: str, k: int) -> DataFrame:
@@ -128,22 +127,24 @@ def trend_series(trips: DataFrame, metrics: list[str]) -> DataFrame:
                                         F.array(*[F.col(m).cast("double") for m in metrics])))
     long = trips.select("vehicle_id", "trip_id", "start", pairs.alias("metric", "value")).filter(
         F.col("value").isNotNull() & F.col("start").isNotNull())
-    return o.ordered_scan(long, ["vehicle_id", "metric"], ["start", "trip_id"], trip_chunk(),
-                          pos=o.position())
+    keys = ["vehicle_id", "metric"]
+    return o.ordered_scan(o.equi_depth(long, [*keys, *ORDER]), keys, ORDER, F.col(o.LAID), pos=o.position()).drop(o.LAID)
 
 
-def iqr_outlier_filter(rows: DataFrame, value: str, fence: float = 3.0) -> DataFrame:
+def iqr_outlier_filter(rows: DataFrame, value: str, fence: float = 3.0,
+                       chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Values outside 3 IQR become null, per vehicle.
 
     Quartiles are order statistics (no interpolation): position floor(n/4) and
-    floor(3n/4) from 0.  Needs 6 rows and 4 finite values; IQR 0 changes nothing.
+    floor(3n/4) from 0; distinct values are counted over ranges of equal size, so no
+    band of values is one task's.  Needs 6 rows and 4 finite values; IQR 0 changes nothing.
     """
     v = F.col(value)
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     sizes = rows.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("rows"),
                                            F.count_if(finite).alias("n"))
     counts = rows.filter(finite).groupBy("vehicle_id", value).agg(F.count(F.lit(1)).alias("c"))
-    ranked = o.ordered_scan(counts, ["vehicle_id"], [value], F.floor(v / 8).cast("bigint"),
+    ranked = o.ordered_scan(o.equi_depth(counts, ["vehicle_id", value], chunk_rows), ["vehicle_id"], [value], F.col(o.LAID),
                             upto=o.running_sum("c"))
 
     def at(share):
@@ -172,8 +173,8 @@ def min_max_scale(rows: DataFrame, keys: list[str], value: str, epsilon: float |
 
 def soot_rate(trips: DataFrame, factor: float = 1.5, minimum: int = 3) -> DataFrame:
     """Soot gained per km between consecutive trips without regeneration."""
-    known = trips.filter(is_sensor() & F.col("start").isNotNull())
-    scanned = o.ordered_scan(known, ["vehicle_id"], ["start", "trip_id"], trip_chunk(),
+    known = laid_out(trips.filter(is_sensor() & F.col("start").isNotNull()))
+    scanned = o.ordered_scan(known, ["vehicle_id"], ORDER, F.col(o.LAID),
                              prev_soot=o.previous("dpf_soot_pct"))
     delta = F.col("dpf_soot_pct") - F.col("prev_soot")
     ok = ~F.col("dpf_state").isin("completed", "post_regen") & (delta > 0) & (F.col("distance_km") != 0)
@@ -187,13 +188,13 @@ def soot_rate(trips: DataFrame, factor: float = 1.5, minimum: int = 3) -> DataFr
 
 def cross_trip_regen(trips: DataFrame, share: float = 0.5) -> DataFrame:
     """State corrected with the previous trip: the counter fell below half."""
-    scanned = o.ordered_scan(trips.filter(is_sensor() & F.col("start").isNotNull()), ["vehicle_id"],
-                             ["start", "trip_id"], trip_chunk(),
+    known = laid_out(trips.filter(is_sensor() & F.col("start").isNotNull()))
+    scanned = o.ordered_scan(known, ["vehicle_id"], ORDER, F.col(o.LAID),
                              prev_last=o.previous("dpf_since_regen_km"))
     fell = F.col("first_since_regen_km") < F.col("prev_last") * share
     hit = F.coalesce(fell, F.lit(False)) & F.col("dpf_state").isin("idle", "post_regen")
     return scanned.withColumn("dpf_state", F.when(hit, F.lit("post_regen"))
-                              .otherwise(F.col("dpf_state"))).drop("prev_last")
+                              .otherwise(F.col("dpf_state"))).drop("prev_last", o.LAID)
 
 
 def linear_slope(trips: DataFrame, value: str, limit: float, minimum: int = 5) -> DataFrame:
