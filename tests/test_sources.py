@@ -127,7 +127,32 @@ def test_export_numbers_and_rejects(spark):
     one, = cj.parse_leg(cj.scan_trip_json(spark, d)).collect()
     assert (one.leg_id, one.duration_min, one.fuel_l, one.cost) == ("myop-7", 30.0, 0.5, 1.0)
     bad, = cj.rejected_exports(spark, d).collect()
-    assert bad.path.endswith("b.json") and "V1" in bad.broken
+    assert bad.path.endswith("b.json") and "V1" in bad.text and bad.reason == "not JSON"
+
+
+def test_one_bad_value_costs_one_trip(spark):
+    """Texts for numbers, odd vehicles, cut files: what is good stays, what isn't is named with its place."""
+    def leg(i, **more):
+        return {"id": i, "start": {"date": "2026-05-20T10:00:00Z"}, "distance": 5.0, "travelTime": 1800, **more}
+
+    d = folder({
+        "a.json": json.dumps([{"vin": "V1", "trips": [leg(1), leg(2, travelTime="1800"), leg(3, other={"distance": "far"})]},
+                              {"vin": "V2", "trips": "x"}, {"vin": 5, "trips": [leg(4)]}, 7, None, {"vin": "V6"}]),
+        "b.myop": json.dumps([{"vin": "V3", "trips": [leg(5)]}])[:-10],
+        "c.json": json.dumps({"vin": "V4", "trips": [leg(6, alerts=[27, "31", True, 2.9, None, [1]]), 3, None,
+                                                     leg(7, start="now", priceFuel=[1]), leg(8, end=None, alerts=None)]}),
+        "d.json": "[]", "e.json": "", "f.json": '{"vin": "V9", "trips": null}', "g.json": json.dumps({"vin": "V7", "trips": [leg(9)]})})
+    parsed = cj.parsed_exports(spark, d).cache()
+    legs = {r.leg_id: r for r in cj.parse_leg(cj.good_trips(parsed)).collect()}
+    assert set(legs) == {f"myop-{i}" for i in (1, 3, 4, 6, 8, 9)}
+    assert legs["myop-6"].alerts == [27, 1, 2] and legs["myop-8"].alerts == [] and legs["myop-4"].vin == "5"
+    bad = sorted((r.path[-6:], r.vehicle_no if r.vehicle_no is not None else -1, r.trip_no if r.trip_no is not None else -1, r.vin,
+                  r.reason) for r in cj.rejects(parsed).collect())
+    assert bad == [("a.json", 0, 1, "V1", "travelTime is text"), ("a.json", 1, -1, "V2", "trips is text"),
+                   ("a.json", 3, -1, "", "vehicle is a number"), ("a.json", 4, -1, "", "vehicle is null"),
+                   ("b.myop", -1, -1, "", "not JSON"), ("c.json", 0, 1, "V4", "trip is a number"),
+                   ("c.json", 0, 2, "V4", "trip is null"), ("c.json", 0, 3, "V4", "priceFuel is a list; start is text")]
+    assert cj.rejected_exports(spark, d).count() == 8
 
 
 def test_long_position_block_and_marks_inside_values(spark):

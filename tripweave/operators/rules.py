@@ -157,9 +157,15 @@ def stable(c: str, kind: str) -> Column:
     return settled(c) if kind == "double" else F.col(c)
 
 
+#: the columns the trend rules read
+_FACTS = {"source", "sources", "dpf_since_regen_km", "dpf_avg_regen_km", "dpf_closed_soot", "adblue_range_km", "oil_dilution_pct",
+          "km_to_service", "days_to_service", "battery_startup_v", "cost", "distance_km", "kml", "l100km", "fuel_l"}
+
+
 def vehicle_facts(trips: DataFrame) -> DataFrame:
     """One row per vehicle with every fact the trend rules read."""
-    trips = tr.laid_out(trips)                          # stored once for all the passes below
+    # stored once for all the passes below
+    trips = tr.laid_out(tr.narrow(trips, *[c for c in trips.columns if c in _FACTS]))
     sensor = trips.filter(is_sensor())
     key = F.struct("start", "trip_id")
     known = lambda c: F.when(F.col(c).isNotNull(), key)

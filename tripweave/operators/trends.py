@@ -22,14 +22,20 @@ def laid_out(trips: DataFrame, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
     return trips if o.LAID in trips.columns else o.equi_depth(trips, ["vehicle_id", *ORDER], chunk_rows)
 
 
-def with_rank(rows: DataFrame) -> DataFrame:
-    """pos (1 = oldest) and size of each vehicle's series, ordered by (start, trip_id)."""
-    return o.ordered_scan(laid_out(rows), ["vehicle_id"], ORDER, F.col(o.LAID), pos=o.position(), size=o.group_size())
+def narrow(rows: DataFrame, *values: str) -> DataFrame:
+    """What identifies and orders a trip, and the values: the rest needn't be laid out."""
+    laid = [o.LAID] if o.LAID in rows.columns else []
+    return rows.select("vehicle_id", *ORDER, *laid, *values)
+
+
+def with_rank(rows: DataFrame, *values: str) -> DataFrame:
+    """The values with pos (1 = oldest) and size of each vehicle's series, ordered by (start, trip_id)."""
+    return o.ordered_scan(laid_out(narrow(rows, *values)), ["vehicle_id"], ORDER, F.col(o.LAID), pos=o.position(), size=o.group_size())
 
 
 def recent_vs_prior(rows: DataFrame, value: str, k: int) -> DataFrame:
     """Mean of the last k values and of all earlier ones, with the count."""
-    ranked = with_rank(rows.filter(F.col(value).isNotNull()))
+    ranked = with_rank(rows.filter(F.col(value).isNotNull()), value)
     recent = F.col("pos") > F.col("size") - k
     return ranked.groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -67,7 +73,7 @@ def economy_context(trips: DataFrame) -> DataFrame:
 def economy_stats(trips: DataFrame, minimum: int = 3, recent: int = 5, enough: int = 8) -> DataFrame:
     """Median, best trip, and last five against the history (n >= 8)."""
     known = plausible_economy(trips)
-    ranked = with_rank(known)
+    ranked = with_rank(known, "economy")
     late = F.col("pos") > F.col("size") - recent
     long = F.col("size") >= enough
     best = F.struct(F.col("economy"), -F.col("pos"))
@@ -112,7 +118,7 @@ def battery_stats(trips: DataFrame, minimum: int = 4, recent: int = 4) -> DataFr
     Stored voltages have two decimals, so the median's counts stay few.
     """
     known = trips.filter(is_sensor() & F.col("battery_startup_v").isNotNull())
-    ranked = with_rank(known)
+    ranked = with_rank(known, "battery_startup_v")
     late = F.col("pos") > F.col("size") - recent
     v = F.col("battery_startup_v")
     agg = ranked.groupBy("vehicle_id").agg(
@@ -173,7 +179,7 @@ def min_max_scale(rows: DataFrame, keys: list[str], value: str, epsilon: float |
 
 def soot_rate(trips: DataFrame, factor: float = 1.5, minimum: int = 3) -> DataFrame:
     """Soot gained per km between consecutive trips without regeneration."""
-    known = laid_out(trips.filter(is_sensor() & F.col("start").isNotNull()))
+    known = laid_out(narrow(trips.filter(is_sensor() & F.col("start").isNotNull()), "dpf_soot_pct", "dpf_state", "distance_km"))
     scanned = o.ordered_scan(known, ["vehicle_id"], ORDER, F.col(o.LAID),
                              prev_soot=o.previous("dpf_soot_pct"))
     delta = F.col("dpf_soot_pct") - F.col("prev_soot")
@@ -199,7 +205,7 @@ def cross_trip_regen(trips: DataFrame, share: float = 0.5) -> DataFrame:
 
 def linear_slope(trips: DataFrame, value: str, limit: float, minimum: int = 5) -> DataFrame:
     """Least-squares slope over the trip index."""
-    ranked = with_rank(trips.filter(is_sensor() & F.col(value).isNotNull()))
+    ranked = with_rank(trips.filter(is_sensor() & F.col(value).isNotNull()), value)
     key = F.col("pos")
     out = ranked.groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope(value, F.col("pos") - 1).alias("slope"),
