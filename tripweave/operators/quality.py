@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions import (add_seconds, dst_seconds, seconds_between, start_of_trip_id,
                                  trip_id_of_file)
@@ -16,6 +16,48 @@ def non_finite_audit(trips: DataFrame) -> DataFrame:
     return counts.unpivot([], doubles, "field", "bad_rows")
 
 
+def non_finite_values(rows: DataFrame, key: str = "trip_id") -> DataFrame:
+    """(key, path, value): every NaN and infinity with its place, inside structs, lists and maps too.
+
+    Paths read ``column.field``, ``column[index]`` and ``column[key]``; a map key that is no finite number has ``column{}``.
+    The walk follows the schema, so columns that can't hold one are not read; one row in gives no more rows than it has such values.
+    """
+    found = [walked for f in rows.schema.fields if f.name != key
+             and (walked := _walk(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name))) is not None]
+    if not found:
+        return rows.select(key, F.lit("").alias("path"), F.lit("").alias("value")).where("false")
+    return rows.select(key, F.explode(F.concat(*found)).alias("_bad")).select(key, "_bad.path", "_bad.value")
+
+
+def _walk(c: Column, kind: T.DataType, path: Column) -> Column | None:
+    """The bad values of a column as an array of (path, value); None if its type has no room for one."""
+    none = F.expr("cast(array() as array<struct<path:string,value:string>>)")
+
+    def joined(parts: list) -> Column | None:
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        name = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity")
+        return F.when(name.isNotNull(), F.array(F.struct(path.alias("path"), name.alias("value")))).otherwise(none)
+    if isinstance(kind, T.StructType):
+        return joined([_walk(c.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        if _walk(c, kind.elementType, path) is None:
+            return None
+        inner = F.transform(c, lambda x, i: _walk(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(inner), none)
+    if isinstance(kind, T.MapType):
+        def entry(e: Column) -> Column | None:
+            place = F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))
+            return joined([_walk(e["key"], kind.keyType, F.concat(path, F.lit("{}"))), _walk(e["value"], kind.valueType, place)])
+
+        if _walk(c, kind.keyType, path) is None and _walk(c, kind.valueType, path) is None:
+            return None
+        return F.coalesce(F.flatten(F.transform(F.map_entries(c), entry)), none)
+    return None
+
+
 def start_drift_audit(trips: DataFrame, minimum_s: float = 60.0) -> DataFrame:
     """Trips whose id and stored start disagree; start and end moved by the difference."""
     right = start_of_trip_id("trip_id")

@@ -67,6 +67,19 @@ def non_finite_audit(spark, d):
     return ql.non_finite_audit(_odd(spark, d))
 
 
+@query("non_finite_paths", """
+SELECT trip_id, path, CASE WHEN isnan(v) THEN 'NaN' WHEN v > 0 THEN 'Infinity' ELSE '-Infinity' END AS value FROM (
+  SELECT trip_id, 'stats.low' AS path, a AS v FROM odd_v UNION ALL SELECT trip_id, 'stats.series[1]', b FROM odd_v
+  UNION ALL SELECT trip_id, 'sensors[p][0].last', a FROM odd_v UNION ALL SELECT trip_id, 'b', b FROM odd_v) WHERE NOT isfinite(v)""",
+       ("odd_v",))
+def non_finite_paths(spark, d):
+    """The same values inside statistics, series and maps of structs, each named with its place."""
+    rows = _odd(spark, d).select(
+        "trip_id", "b", F.struct(F.col("a").alias("low"), F.array(F.lit(1.0), "b", F.lit(None)).alias("series")).alias("stats"),
+        F.create_map(F.lit("p"), F.array(F.struct(F.col("a").alias("last"), F.lit("u").alias("unit")))).alias("sensors"))
+    return ql.non_finite_values(rows)
+
+
 @query("source_split", f"""
 SELECT trip_id, CASE WHEN {SENSOR} THEN 'sensor' ELSE 'cloud' END AS part FROM trips_p
 UNION ALL SELECT leg_id, 'cloud' FROM legs_v""", ("trips_p", "legs_v"))
