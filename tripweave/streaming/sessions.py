@@ -26,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tripweave import fixed_values as fv
 from tripweave.operators import dpf, ordered as o, pid_stats as ps
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _KEYS = ["vehicle_id", "chunk"]
@@ -137,7 +138,6 @@ def chunk_summaries(samples: DataFrame, width: str, delay: str, gap_s: float, an
     vehicle's time; its samples are the largest thing one task holds.
     """
     spark = samples.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     width_s = float(spark.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01' + INTERVAL {width}) "
                                                  "- unix_micros(timestamp'1970-01-01')")).first()[0]) / 1e6
     us = F.unix_micros("ts")
@@ -150,12 +150,21 @@ def chunk_summaries(samples: DataFrame, width: str, delay: str, gap_s: float, an
 
 
 def store_summaries(stream: DataFrame, out: str, checkpoint: str):
-    """Start storing the stream; a repeated micro-batch overwrites its own folder."""
+    """Start storing the stream; a repeated micro-batch overwrites its own folder.
+
+    Keyed processors need the RocksDB state store, which is set for this stream only.
+    """
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, STATE_STORE)
+    try:
+        return stream.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
