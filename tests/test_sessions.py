@@ -137,11 +137,12 @@ def test_statistics_and_state_equal_the_batch_operators(spark, seed=2):
 
 
 def test_samples_behind_the_watermark_do_not_reopen_a_closed_chunk(spark):
-    row = (1, 0, 0, "rpm", 1.0, "u")
-    late = [(1, 10_000_000, 1, "rpm", 9.0, "u")]
-    far = [(1, 9_000_000_000, 2, "rpm", 2.0, "u")]
+    t = 1_000_000_000_000                                          # a chunk's start
+    row = (1, t, 0, "rpm", 1.0, "u")
+    late = [(1, t + 10_000_000, 1, "rpm", 9.0, "u")]
+    far = [(1, t + 9_000_000_000, 2, "rpm", 2.0, "u")]
     chunks = stream(spark, [[row], far, late + far, far]).collect()
-    assert [(r.n, r.closed) for r in chunks if r.chunk == 0] == [(1, True)]
+    assert [(r.n, r.closed) for r in chunks if r.chunk == 25_000] == [(1, True)]
 
 
 def test_zones_lie_inside_or_outside_of_any_window():
