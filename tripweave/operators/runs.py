@@ -54,15 +54,19 @@ def fold_by(rows: DataFrame, keys: Sequence[str], order: Column, piece: str = "p
     return rows.groupBy(*keys).agg(fold_pieces(F.transform(ordered, lambda p: p["piece"])).alias(piece))
 
 
-def longest_run(series: DataFrame, keys: Sequence[str], low: Column, seq: str = "seq",
-                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(keys, longest_run): the longest run of rows for which ``low`` holds, in the order of ``seq``.
+def flagged(series: DataFrame, keys: Sequence[str], low: Column, seq: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, _chunk, _seq, _low): what the pieces of a series are made of."""
+    return series.select(*keys, chunk_by_sequence(seq, chunk_rows).alias("_chunk"), F.col(seq).alias("_seq"), low.alias("_low"))
 
-    Rows meet by (group, chunk) only, at most ``chunk_rows`` of them; a chunk leaves four numbers.
-    """
-    flagged = series.select(*keys, F.col(seq).alias("_seq"), low.alias("_low"),
-                            chunk_by_sequence(seq, chunk_rows).alias("_chunk"))
+
+def chunk_pieces(flags: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _chunk, piece): rows meet by (group, chunk) only, and a chunk leaves four numbers."""
     in_order = F.array_sort(F.collect_list(F.struct("_seq", "_low")))
-    chunks = flagged.groupBy(*keys, "_chunk").agg(
-        run_piece(F.transform(in_order, lambda r: r["_low"])).alias("piece"))
+    return flags.groupBy(*keys, "_chunk").agg(run_piece(F.transform(in_order, lambda r: r["_low"])).alias("piece"))
+
+
+def longest_run(series: DataFrame, keys: Sequence[str], low: Column, seq: str = "seq",
+                chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, longest_run): the longest run of rows for which ``low`` holds, in the order of ``seq``."""
+    chunks = chunk_pieces(flagged(series, keys, low, seq, chunk_rows), keys)
     return fold_by(chunks, keys, F.col("_chunk")).select(*keys, F.col("piece.best").alias("longest_run"))
