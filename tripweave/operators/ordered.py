@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tripweave.operators.durable import new_folder
+from tripweave.operators.durable import new_folder, remove
 
 CHUNK_ROWS = 65_536
 _CHUNK = "_chunk"
@@ -47,6 +47,7 @@ def equi_depth(rows: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_RO
     if n == 1:
         return stored.withColumn(LAID, F.lit(0))
     stored.repartitionByRange(n, *order).withColumn(LAID, F.spark_partition_id()).write.partitionBy(LAID).parquet(path)
+    remove(spark, raw)
     return spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(LAID, T.IntegerType())])).parquet(path)
 
 
