@@ -87,7 +87,8 @@ def test_features_equal_brute_force(corpus):
         if fold(r.doc_id, 5) > 1:
             for x in {(k, w[:k]) for w in words[r.doc_id] for k in levels}:
                 n.setdefault(x, [0, 0])[r.toxic] += 1
-    total = [sum(v[c] for v in n.values()) for c in (0, 1)]
+    n = {x: v for x, v in n.items() if v[1] > 3}              # the vocabulary: discounted toxic mass
+    total = [max(sum(v[c] for v in n.values()), 1) for c in (0, 1)]
     left = [1 - sum(max(v[c] - 3, 0) for v in n.values()) / total[c] for c in (0, 1)]
 
     def gain(w):
@@ -96,8 +97,9 @@ def test_features_equal_brute_force(corpus):
             v = n.get((k, w[:k]))
             if v:
                 p = [max(v[c] - 3, 0) / total[c] / (sum(v) / sum(total)) + left[c] * p[c] for c in (0, 1)]
-        return np.log1p(0.02 * (p[1] / p[0] - 1))
+        return np.log1p(0.02 * (p[1] / p[0] - 1)) if p[1] >= 2 * p[0] else 0.0
 
+    assert 0 < sum(gain(w) > 0 for w in {w for ws in words.values() for w in ws}) < 60
     for i, ws in words.items():
         assert abs(got[i] - sum(map(gain, ws)) / max(len(ws), 1)) < 1e-9
 
