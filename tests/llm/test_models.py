@@ -82,9 +82,10 @@ def test_features_equal_brute_force(corpus):
     text = {r.doc_id: r.text.lower() for r in docs.collect()}
     words = {i: ["".join(c if c.isalpha() else " " for c in t).split() for t in [t]][0] for i, t in text.items()}
     levels = (*op10_toxicity.PREFIXES, 99)
-    n = {}
+    n, n_texts = {}, [0, 0]
     for r in labels.collect():
         if fold(r.doc_id, 5) > 1:
+            n_texts[r.toxic] += 1
             for x in {(k, w[:k]) for w in words[r.doc_id] for k in levels}:
                 n.setdefault(x, [0, 0])[r.toxic] += 1
     n = {x: v for x, v in n.items() if v[1] > 3}              # the vocabulary: discounted toxic mass
@@ -97,7 +98,11 @@ def test_features_equal_brute_force(corpus):
             v = n.get((k, w[:k]))
             if v:
                 p = [max(v[c] - 3, 0) / total[c] / (sum(v) / sum(total)) + left[c] * p[c] for c in (0, 1)]
-        return np.log1p(0.02 * (p[1] / p[0] - 1)) if p[1] >= 2 * p[0] else 0.0
+        if (k_last := [k for k in levels if (k, w[:k]) in n]) and p[1] >= 2 * p[0]:
+            v = n[k_last[-1], w[:k_last[-1]]]
+            usual = sum(v) * n_texts[1] / sum(n_texts)
+            return np.log1p(0.02 * (p[1] / p[0] - 1)) if v[1] > usual + 4 * usual ** 0.5 else 0.0
+        return 0.0
 
     assert 0 < sum(gain(w) > 0 for w in {w for ws in words.values() for w in ws}) < 60
     for i, ws in words.items():
