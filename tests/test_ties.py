@@ -2,6 +2,30 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
+from tripweave.operators import reconcile as rc, trends as tr
+
+
+def test_a_slope_of_exactly_the_limit_is_not_falling(spark):
+    values = [210.0, 242.0, 176.0, 173.0, 184.0, 158.0, 170.0]           # regr_slope: -10.000000000000002
+    steep = [v - (i == 6) for i, v in enumerate(values)]
+    rows = spark.createDataFrame([(v, i, f"2026-05-0{i + 1} 10:00:00", y, ["obd"]) for v, ys in enumerate((values, steep))
+                                  for i, y in enumerate(ys)],
+                                 "vehicle_id long, trip_id long, start string, km double, sources array<string>")
+    rows = rows.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("source", F.lit("obd_csv"))
+    got = {r.vehicle_id: r.falling for r in tr.linear_slope(rows.coalesce(1), "km", -10.0).collect()}
+    assert got == {0: False, 1: True}
+
+
+def test_the_order_of_adding_fuel_decides_nothing(spark):
+    rows = spark.createDataFrame([(1, 17.0, 20.0), (2, 17.0, 19.999999999999996), (3, 23.0, 19.999999999999996),
+                                  (4, 16.9, 20.0)], "trip_id long, fuel_l double, cloud_fuel_l double").selectExpr(
+        "*", "1e0 AS distance_km", "1e0 AS cloud_distance_km", "timestamp_ntz'2026-05-01 10:00:00' AS start",
+        "timestamp_ntz'2026-05-01 10:00:00' AS cloud_start")
+    got = {r.trip_id: r.fuel_agrees for r in rc.source_cross_check(rows).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False}
+
 
 def test_late_legs_of_parts_with_several_files(spark):
     import duckdb
