@@ -151,3 +151,21 @@ def test_zones_lie_inside_or_outside_of_any_window():
     sec = np.array([0, 1, 2, 2, 3, 4, 5.0])
     pid = np.array(["x", "rpm", "x", "rpm", "x", "speed", "x"])
     assert sessions._zones(sec, pid, ANCHORS).tolist() == [0, 1, 3, 3, 4, 5, 6]
+
+
+def test_the_unit_is_a_sample_s_whatever_the_order_of_summaries(spark):
+    import numpy as np
+
+    us = np.array([1, 2, 3]) * 1_000_000
+    made = sessions.summarise(us, np.arange(3), np.array(["rpm", "km", "km"], object), np.array([1.0, 2.0, 3.0]),
+                              np.array(["u", "u", "u"], object), ANCHORS[:0], GAP_S, "km", 1.0)
+    n = len(made["n"])
+    made |= {"vehicle_id": [1] * n, "chunk": [0] * n, "closed": [False] * n}
+    for step in (1, -1):                                           # readings last and first
+        rows = [tuple(x.item() if isinstance(x, np.generic) else x for x in (made[c][i] for c in sessions._NAMES))
+                for i in range(n)][::step]
+        chunks = spark.createDataFrame(rows, sessions.SUMMARY.format(vehicle="long")).coalesce(1).withColumn(
+            "first_at", F.struct("first_us", "first_seq")).withColumn("last_at", F.struct("last_us", "last_seq"))
+        stats = sessions.session_statistics(chunks, spark.createDataFrame([("x", "y")], "pid string, curated_slug string"),
+                                            GAP_S, DELAY_S, CHUNK_S, ANCHORS[:0])
+        assert {r.pid: r.unit for r in stats.collect()} == {"rpm": "u", "km": "u"}
