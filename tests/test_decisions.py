@@ -230,3 +230,15 @@ def test_reconcile_again_changes_nothing(spark):
     totals = first.trips.agg(F.sum("distance_km")).collect()[0][0]
     gone = {r.trip_id for r in first.removed.collect()}
     assert abs(totals - sum(x[6] for x in trips if x[1] not in gone)) < 1e-9
+
+
+def test_decisions_alone_are_those_of_the_whole_pass_and_carry_nothing_else(spark):
+    from tripweave.plans import q_reconcile as q, views as v
+
+    d, how = "/root/testdata/sf0.001", {"gap_s": q.GAP_S, "dedupe_s": q.DEDUPE_S, "bucket_s": q.BUCKET_S}
+    trips, legs = v.trips(spark, d), v.legs(spark, d)
+    alone, whole = rc.decide(trips, legs, **how), rc.reconcile(trips, legs, **how)
+    for name in ("removed", "chains", "assigned", "duplicates"):
+        got, want = getattr(alone, name), getattr(whole, name)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), name
+    assert {*alone.merged.columns} == {*rc.DECIDING_TRIPS, "merged"} and {*alone.free.columns} == {*rc.DECIDING_LEGS}

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tripweave.operators.durable import new_folder, remove
+from tripweave.operators.durable import CODEC, new_folder, remove
 
 CHUNK_ROWS = 65_536
 _CHUNK = "_chunk"
@@ -41,12 +41,13 @@ def equi_depth(rows: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_RO
     are: one hot key, or rows without a time, spread over as many chunks as they fill.
     """
     spark, raw, path = rows.sparkSession, new_folder(rows.sparkSession, "rows"), new_folder(rows.sparkSession, "ranges")
-    rows.write.parquet(raw)                              # counted, sampled and laid out, so computed once
+    rows.write.option("compression", CODEC).parquet(raw)                              # counted, sampled and laid out, so computed once
     stored = spark.read.schema(rows.schema).parquet(raw)
     n = max(1, -(-stored.count() // chunk_rows))
     if n == 1:
         return stored.withColumn(LAID, F.lit(0))
-    stored.repartitionByRange(n, *order).withColumn(LAID, F.spark_partition_id()).write.partitionBy(LAID).parquet(path)
+    stored.repartitionByRange(n, *order).withColumn(LAID, F.spark_partition_id()).write.option("compression", CODEC) \
+        .partitionBy(LAID).parquet(path)
     remove(spark, raw)
     return spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(LAID, T.IntegerType())])).parquet(path)
 

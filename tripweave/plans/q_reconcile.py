@@ -354,6 +354,10 @@ def _reconciled(spark, d):
     return rc.reconcile(v.trips(spark, d), v.legs(spark, d), gap_s=GAP_S, dedupe_s=DEDUPE_S, bucket_s=BUCKET_S)
 
 
+def _decided(spark, d):
+    return rc.decide(v.trips(spark, d), v.legs(spark, d), gap_s=GAP_S, dedupe_s=DEDUPE_S, bucket_s=BUCKET_S)
+
+
 @query("reconcile", f"""
 SELECT t.trip_id, t."end", {s6('t.distance_km', 'distance_km')}, t.merged,
   CASE WHEN e.trip_id IS NULL THEN t.cloud_id ELSE e.cloud_id END AS cloud_id,
@@ -370,7 +374,8 @@ def reconcile(spark, d):
 @query("reconcile_legs", "SELECT leg_id FROM free_v WHERE leg_id NOT IN (SELECT leg_id FROM gold_dups_v)",
        ("free_v", "gold_dups_v"))
 def reconcile_legs(spark, d):
-    return _reconciled(spark, d).legs.select("leg_id")
+    done = _decided(spark, d)
+    return rc.standalone_anti(done.free, done.duplicates, "leg_id").select("leg_id")
 
 
 @query("correlation_counts", """
@@ -382,4 +387,4 @@ UNION ALL SELECT vehicle_id, 'legs_absorbed', count(*) FROM gold_legs_v GROUP BY
 UNION ALL SELECT vehicle_id, 'duplicates_removed', count(*) FROM gold_dups_v GROUP BY 1""",
        ("removed_v", "kept_chains_v", "gold_legs_v", "gold_dups_v"))
 def correlation_counts(spark, d):
-    return rc.correlation_counts(_reconciled(spark, d)).select("vehicle_id", "counter", "n")
+    return rc.correlation_counts(_decided(spark, d)).select("vehicle_id", "counter", "n")
