@@ -206,6 +206,34 @@ def test_passages_whose_seeds_occur_earlier_elsewhere(spark):
     assert {(r.doc_id, r.source_id) for r in found if r.end - r.start >= 55} == want
 
 
+def test_previous_documents_of_pairs_equal_brute_force(spark, monkeypatch):
+    r, rows, places = random.Random(31), [], {}
+    for doc in range(300):
+        for at in range(6):
+            pair = r.choice([1, 2, *range(10, 400)])
+            rows.append((0, doc, 20 * at, pair, 5))
+            places.setdefault(pair, {}).setdefault(doc, []).append(20 * at)
+    want = set()
+    for docs in places.values():
+        order = sorted(docs)
+        for before, doc in zip(order, order[1:]):
+            want |= {(doc, at + step, before, docs[before][0] + step) for at in docs[doc] for step in (0, 5)}
+    found = spark.createDataFrame(rows, "hash long, doc_id long, at int, pair long, step int").repartition(4)
+    for hot in (200, 1, 10 ** 9):                     # the two frequent pairs are dealt by ranges, none, and every pair
+        monkeypatch.setattr(op7_passages, "HOT", hot)
+        got = op7_passages.previous_matches(found).collect()
+        assert len(got) == len({tuple(x) for x in got}) and {tuple(x) for x in got} == want
+
+
+def test_matches_are_laid_out_once_for_chains(spark):
+    twice = spark.createDataFrame([(1, 0, 0, 0, True), (1, 0, 0, 0, False), (1, 30, 0, 30, False)],
+                                  "doc_id long, at int, source long, source_at int, by_first boolean")
+    out = op7_passages.chained(twice)
+    assert [tuple(x) for x in out.collect()] == [(1, 0, [0, 30], [0, 30], True)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan[:plan.find("Initial Plan")].count("Exchange") == 1
+
+
 def test_chains_equal_brute_force():
     r = random.Random(3)
     for _ in range(60):

@@ -40,6 +40,8 @@ GAP = 0.05                 # of a chain's score for each word skipped on either
 BLOCK = 1024               # words aligned at once, from anchor to anchor
 DROP = 6                   # an extension ends this far below its best
 RANGES = 64                # of document ids, among which a pair of seeds in many documents is dealt
+SAMPLE_DOCS = 2000         # whose pairs show which ones many documents have; no result depends on it
+HOT = 200                  # a pair is dealt if more than one of so many documents has it
 _SLICE = 4 << 20
 
 
@@ -96,31 +98,48 @@ def matches(found: DataFrame, first: DataFrame) -> DataFrame:
     return found.join(first, "hash").where("doc_id <> source").select("doc_id", "at", "source", "source_at")
 
 
+def _hot_pairs(rows: DataFrame) -> list[int]:
+    """Pairs that a sample of SAMPLE_DOCS documents shows in more than one of HOT; they decide on the layout alone."""
+    few = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    seen = rows.join(F.broadcast(few), "doc_id", "left_semi").groupBy("pair").agg(F.count_distinct("doc_id").alias("n"))
+    return [r.pair for r in seen.where(F.col("n") > max(SAMPLE_DOCS // HOT, 1)).select("pair").collect()]
+
+
 def previous_matches(found: DataFrame) -> DataFrame:
     """doc_id, at, source, source_at: both seeds of each pair with the first place in the previous document that has it.
 
-    A pair's documents are cut by ranges of ids, and a row per pair and range carries the last document over the cuts.
+    The documents of a pair that many have are cut by ranges of ids, and a row per pair and range carries the last document
+    over the cuts. Rows are laid out once; only those of such pairs are dealt again.
     """
-    cuts = found.where("pair is not null").approxQuantile("doc_id", [i / RANGES for i in range(1, RANGES)], 0.001)
+    rows = found.where("pair is not null").select("pair", "doc_id", "at", "step")
+    hot = _hot_pairs(rows)
+    cuts = found.where("pair is not null").approxQuantile("doc_id", [i / RANGES for i in range(1, RANGES)], 0.001) if hot else []
     part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    places = keep(found.where("pair is not null").groupBy("pair", "doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("at", "step"))).alias("places")).withColumn("part", part), "places")
-    place = F.struct("doc_id", F.col("places")[0].alias("place")).alias("last")
-    ends = places.groupBy("pair", "part").agg(F.max_by(place, "doc_id").alias("last"))
-    carried = keep(ends.withColumn("carried", F.lag("last").over(Window.partitionBy("pair").orderBy("part")))
-                   .where("carried is not null").select("pair", "part", "carried"), "carried")
-    firsts = places.groupBy("pair", "part").agg(F.min("doc_id").alias("doc_id"))
-    inside = places.withColumn("before", F.lag(place).over(Window.partitionBy("pair", "part").orderBy("doc_id"))) \
+    named = F.broadcast(found.sparkSession.createDataFrame([(p,) for p in hot], "pair long").withColumn("hot", F.lit(True)))
+    rows = rows.join(named, "pair", "left").withColumn("part", F.when(F.col("hot"), part).otherwise(-1)).drop("hot")
+
+    def places_of(rows: DataFrame) -> DataFrame:
+        return rows.repartition("pair", "part").groupBy("pair", "part", "doc_id").agg(
+            F.sort_array(F.collect_list(F.struct("at", "step"))).alias("places"))
+
+    place = F.struct("doc_id", F.col("places")[0].alias("place"))
+    inside = places_of(rows).withColumn("before", F.lag(place).over(Window.partitionBy("pair", "part").orderBy("doc_id"))) \
         .where("before is not null").select("doc_id", "places", "before")
-    across = carried.join(firsts, ["pair", "part"]).join(places.drop("part").hint("merge"), ["pair", "doc_id"]) \
-        .select("doc_id", "places", F.col("carried").alias("before"))
-    pairs = inside.unionByName(across).select("doc_id", "before", F.explode("places").alias("p"))
+    stored = []
+    if hot:
+        places = keep(places_of(rows.where("part >= 0")), "places")
+        ends = places.groupBy("pair", "part").agg(F.max_by(place, "doc_id").alias("last"), F.min("doc_id").alias("doc_id"))
+        carried = keep(ends.withColumn("before", F.lag("last").over(Window.partitionBy("pair").orderBy("part")))
+                       .where("before is not null").select("pair", "doc_id", "before"), "carried")
+        inside = inside.unionByName(places.join(carried.hint("merge"), ["pair", "doc_id"]).select("doc_id", "places", "before"))
+        stored = [places, carried]
+    pairs = inside.select("doc_id", "before", F.explode("places").alias("p"))
     ends_of = F.array(F.struct(F.col("p.at").alias("at"), F.col("before.place.at").alias("source_at")),
                       F.struct((F.col("p.at") + F.col("p.step")).alias("at"),
                                (F.col("before.place.at") + F.col("before.place.step")).alias("source_at")))
     out = keep(pairs.select("doc_id", F.col("before.doc_id").alias("source"), F.explode(ends_of).alias("m"))
                .select("doc_id", "m.at", "source", "m.source_at"), "previous")
-    discard(places, carried)
+    discard(*stored)
     return out
 
 
@@ -216,7 +235,8 @@ def chained(matched: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def _table(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return (matched.repartition("doc_id").sortWithinPartitions("doc_id", "source", "at", "source_at")
+    once = matched.repartition("doc_id").groupBy("doc_id", "source", "at", "source_at").agg(F.max("by_first").alias("by_first"))
+    return (once.sortWithinPartitions("doc_id", "source", "at", "source_at")
             .mapInArrow(run, "doc_id long, source long, at array<int>, source_at array<int>, by_first boolean"))
 
 
@@ -329,7 +349,6 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, agree: float = AGREE)
     previous = previous_matches(found)
     places = matches(found, first).withColumn("by_first", F.lit(True)).unionByName(
         previous.withColumn("by_first", F.lit(False)))
-    places = places.groupBy("doc_id", "at", "source", "source_at").agg(F.max("by_first").alias("by_first"))
     chain = keep(chained(places, min_words), "chains")
     discard(found, first, previous)
     out = aligned(docs, chain, min_words, agree)
