@@ -224,3 +224,17 @@ def test_from_files_to_insights(spark):
     everything = op.unify_sources(result.trips, cj.legs_as_trips(result.legs))
     board = {(r.vehicle_id, r.category, r.level) for r in rules.cross_trip_insights(op.trip_projection(everything)).collect()}
     assert ("V1", "service", "warning") in board and ("V2", "engine", "warning") in board
+
+
+def test_variants_are_read_apart_from_trips_as_they_are(spark):
+    """What a damaged trip needs is not part of the compiled code of the good ones, which it would make too long."""
+    from tripweave.sources import cloud_json as cj
+
+    docs = spark.createDataFrame([('{"vin":"A","trips":[{"id":1,"distance":2.5}]}',), ('{"vin":"B","trips":[{"id":"x"},7]}',),
+                                  ("[1",)], "doc string")
+    parsed = cj.parse_documents(docs, "doc")
+    assert sorted((r.vin, r.reason) for r in parsed.select("vin", "reason").collect() if r.reason) == [
+        ("", "not JSON"), ("B", "id is text"), ("B", "trip is a number")]
+    assert [(r.vin, r.trip.id, r.trip.distance) for r in cj.good_trips(parsed).collect()] == [("A", 1.0, 2.5)]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(_t" in plan and "try_variant_get(_t" not in plan
