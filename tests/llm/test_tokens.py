@@ -116,3 +116,18 @@ def test_crc_of_a_piece(edges):
 
     row = op5_packing.pack(edges.where("doc_id = 8"), JSON).select("ids", F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(bytes(row.ids))
+
+
+def test_packing_holds_little_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [prose(i, 400) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    next(op5_packing._pieces_of(batch.slice(0, 1), JSON, 2048, 1))        # reads the vocabulary
+    tracemalloc.start()
+    tokens = sum(sum(out.column("length").to_pylist()) for out in op5_packing._pieces_of(batch, JSON, 2048, 1))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tokens > len(texts) * 400 and most < 150e6

@@ -25,7 +25,7 @@ from tripweave.llm.tokenizing import PartMemo
 
 LONGEST = 2048
 END_ID = 1
-_SLICE = 8 << 20
+_SLICE = 2 << 20          # an executor's workers hold a slice, its parts and their ids at once
 
 
 @cache
@@ -55,14 +55,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for lo, hi in slices(offsets, _SLICE):
-                ids, border = _coder(tokenizer_path).ids(data, offsets[lo:hi + 1])
-                yield from _cut(batch.column("doc_id")[lo:hi].to_pylist(), ids, border, longest, end_id)
+            yield from _pieces_of(batch, tokenizer_path, longest, end_id)
 
     return texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
+def _pieces_of(batch: pa.RecordBatch, tokenizer_path: str, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    data, offsets = text_buffer(batch.column("text"))
+    for lo, hi in slices(offsets, _SLICE):
+        ids, border = _coder(tokenizer_path).ids(data, offsets[lo:hi + 1])
+        yield from _cut(batch.column("doc_id")[lo:hi].to_pylist(), ids, border, longest, end_id)
+
+
 def _cut(docs: list, ids: np.ndarray, border: np.ndarray, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
     """Batches of pieces, each of a few megabytes."""
     rows: list[tuple] = []
