@@ -4,7 +4,8 @@ Seeds are five-word shingles, thinned by minimisers (the smallest hash of every
 shared run of WINDOW + 4 words has a seed in both documents. Every seed is matched with its *first* occurrence in the
 corpus (smallest id, then position), and every pair of neighbouring seeds with the *previous* document that has the pair, as
 the first occurrence of a seed may be a common phrase or a part too short to be a passage: at most three times as many
-matches as seeds, however many copies there are. The matches of two
+matches as seeds, however many copies there are. (So a passage is missed if each of its seeds first occurs, and each pair last
+occurred, in documents without the rest of it, even if a third one has all; the README says so.) The matches of two
 documents are chained in order, gaps cost, by a Fenwick tree over positions; a chain is extended at both ends and
 aligned (longest common subsequence, bit-parallel, between anchors) and is a passage if it has ``MIN_WORDS`` words and
 agrees in ``AGREE`` of them. The first document keeps its copy, later ones lose theirs.
