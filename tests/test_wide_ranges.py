@@ -9,6 +9,7 @@ from test_plans import exchanges, static  # noqa: F401
 
 from tripweave.operators import reconcile as rc
 from tripweave.plans import QUERIES
+from tripweave.streaming import reconciling as rg
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = 10_000_000
@@ -39,3 +40,10 @@ def test_placed_legs_are_all_legs(spark):
 @pytest.mark.parametrize("name,most", [("overlap_self_join", 5), ("leg_aggregate", 6), ("enrich_update", 9), ("unmatched_union", 4), ("tracks_concat", 11)])
 def test_exchanges_of_legs_and_trips(static, name, most):  # noqa: F811
     assert exchanges(QUERIES[name](static, FOLDER)) <= most
+
+
+def test_newest_rows_are_chosen_where_they_lie(static, tmp_path):  # noqa: F811
+    rows = static.createDataFrame([(1, 10, 2.0, False), (2, 20, 3.0, True)], "vehicle_id long, trip_id long, km double, gone boolean")
+    rows.write.parquet(f"{tmp_path}/batch=0")
+    got = rg.arrived(static, str(tmp_path), rows.schema, "trip_id", 0, rows.select("vehicle_id"))
+    assert [tuple(r) for r in got.collect()] == [(1, 10, 2.0)] and exchanges(got) <= 2
