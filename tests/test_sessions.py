@@ -169,3 +169,47 @@ def test_the_unit_is_a_sample_s_whatever_the_order_of_summaries(spark):
         stats = sessions.session_statistics(chunks, spark.createDataFrame([("x", "y")], "pid string, curated_slug string"),
                                             GAP_S, DELAY_S, CHUNK_S, ANCHORS[:0])
         assert {r.pid: r.unit for r in stats.collect()} == {"rpm": "u", "km": "u"}
+
+
+def test_a_call_summarises_many_vehicles_as_if_each_came_alone():
+    import numpy as np
+
+    rows = drive(7, vehicles=6)
+    random.Random(7).shuffle(rows)
+    vehicle, us, seq, pid, value, unit = (np.array(c, object) for c in zip(*rows))
+    owner = np.array([None if v == 5 else str(v) for v in vehicle], object)
+    cols = us.astype(np.int64), seq.astype(np.int64), pid, value.astype(float), unit
+
+    def lines(made, names, mine):
+        return sorted(repr([made[c][i] for c in names]) for i in range(len(made["n"])) if made["vehicle_id"][i] == mine)
+
+    every = sessions.summarise(*cols, ANCHORS, GAP_S, "km", 1.0, vehicle=owner)
+    for v in set(owner):
+        at = np.flatnonzero(owner == v)
+        alone = sessions.summarise(*[c[at] for c in cols], ANCHORS, GAP_S, "km", 1.0)
+        names = list(alone)
+        assert lines(every, names, v) == lines(alone | {"vehicle_id": [v] * len(alone["n"])}, names, v) != []
+
+
+def test_vehicles_share_state_keys(spark):
+    """400 vehicles in two buckets are four keys, and every vehicle has its own rows and its own closing."""
+    inbox, out, mark = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(3))
+    t = 1_000_000_000_000                                          # a chunk's start
+    schema = "vehicle_id long, us long, seq long, pid string, value double, unit string"
+    kept = []
+    for part in ([(v, t + v, 0, "rpm", 1.0, "u") for v in range(400)], [(v, t + 9_000, 1, "rpm", 3.0, "u") for v in range(200)],
+                 [(v, t + 9_000_000_000, 2, "rpm", 2.0, "u") for v in range(400)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(inbox)
+        rows = spark.readStream.schema(schema).parquet(inbox).withColumn("ts", F.timestamp_micros("us"))
+        made = sessions.chunk_summaries(rows, f"{CHUNK_S:.0f} seconds", f"{DELAY_S:.0f} seconds", GAP_S, ANCHORS, RULES, buckets=2)
+        query = sessions.store_summaries(made, out + "/chunks", mark)
+        query.awaitTermination()
+        kept += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(kept) <= 4
+    rows = sessions.current(spark, out + "/chunks").where("chunk = 25000").collect()
+    assert sorted((r.vehicle_id, r.n, r.closed) for r in rows if r.rounded == 1.0) == [(v, 1, True) for v in range(400)]
+    assert sorted((r.vehicle_id, r.n) for r in rows if r.rounded == 3.0) == [(v, 1) for v in range(200)]
+
+
+def test_buckets_grow_with_the_rows():
+    assert [sessions.bucket_count(n) for n in (0, 1, 16_384, 16_385, 36_000_000)] == [1, 1, 1, 2, 2198]
