@@ -5,6 +5,7 @@ import struct
 import tempfile
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripweave import fixed_values as fv
@@ -165,6 +166,31 @@ def test_long_position_block_and_marks_inside_values(spark):
     assert [(r.sec, r.value) for r in got] == [(s, x) for s, _, x in rows]
 
 
+def test_decoding_a_log_takes_no_multiple_of_its_size():
+    import tracemalloc
+
+    data = encode_log([(i * .5, "rpm", i * 1.0) for i in range(200_000)], ["rpm"])
+    tracemalloc.start()
+    n = sum(len(batch) for batch in sb.record_batches(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 and peak < len(data)
+
+
+@pytest.mark.parametrize("window", [1, 24, 100, 1 << 18])
+def test_records_do_not_depend_on_the_window(window):
+    mark = struct.unpack("<d", fv.BINARY_RECORD_MARK + fv.BINARY_RECORD_MARK)[0]
+    rows = [(float(i), n, mark if i % 3 == 0 else 1.0) for i, n in enumerate(["rpm", "Altitudine GPS", "x" * 9] * 20)]
+    data = encode_log(rows, ["rpm", "Altitudine GPS", "x" * 9]).replace(struct.pack("<I", 4097), fv.BINARY_ALTITUDE_ID)
+    want = [(*rows[i], 0.0, 0.0) for i in range(60)]
+    for k, lat in enumerate([40.5, mark, 41.5]):                      # a position that looks like a mark, at its 12th byte
+        data += fv.BINARY_RECORD_MARK + struct.pack("<d", 90.0 + k) + fv.BINARY_ALTITUDE_ID + struct.pack("<d", 2.0)
+        data += b"\1\2\3\4" + struct.pack("<ddd", 9.0, lat, 14.7)
+        want.append((90.0 + k, "Altitudine GPS", 2.0, lat, 14.7))
+    got = [tuple(r.values()) for batch in sb.record_batches(data, window) for r in batch.to_pylist()]
+    assert sorted(got) == sorted(want) and got[60:] == want[60:]
+
+
 def test_bucketed_samples_join_without_shuffle(spark):
     rows = spark.range(1000).selectExpr("id % 5 AS trip_id", "id AS seq", "id * 1.0e0 AS sec", "'p' AS pid",
                                         "1.0e0 AS value", "'' AS unit", "0.0e0 AS lat", "0.0e0 AS lon")
