@@ -109,6 +109,46 @@ def test_features_equal_brute_force(corpus):
         assert abs(got[i] - sum(map(gain, ws)) / max(len(ws), 1)) < 1e-9
 
 
+def test_whole_models_know_every_expression(spark):
+    """Both models count all expressions, so a word of ordinary documents alone is no evidence, whatever its beginning is."""
+    r, docs, toxic = random.Random(9), [], {}
+    for i in range(600):
+        words = [w.lower() for w in prose(i, 60).split()]
+        toxic[i] = int(i % 5 == 0)
+        word = "zumpkin" if toxic[i] else "zumpkinizing" if i % 20 == 1 else None
+        docs.append((i, " ".join(words[:30] + [word] * 3 * (word is not None) + words[30:])))
+    docs.append((1000, "zumpkinizing " * 40))
+    docs.append((1001, "zumpkinettes " * 40))                       # in no training text: worth what its beginning is
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = op10_toxicity.fit(frame, labels, whole=True)
+    got = {r.doc_id: r.feature for r in op10_toxicity.score_with(frame, model).collect()}
+    levels = (*op10_toxicity.PREFIXES, 99)
+    words = {i: "".join(c if c.isalpha() else " " for c in t).split() for i, t in docs}
+    n, n_texts = {}, [0, 0]
+    for i, t in toxic.items():
+        if fold(i, 5) > 1:
+            n_texts[t] += 1
+            for x in {(k, w[:k]) for w in words[i] for k in levels}:
+                n.setdefault(x, [0, 0])[t] += 1
+    total = [sum(v[c] for v in n.values()) for c in (0, 1)]
+    left = [1 - sum(max(v[c] - 3, 0) for v in n.values()) / total[c] for c in (0, 1)]
+    assert model.total == tuple(total) and model.counts.count() == len(n)
+
+    def gain(w):
+        p, last = [1.0, 1.0], None
+        for k in levels:
+            if v := n.get((k, w[:k])):
+                p, last = [max(v[c] - 3, 0) / total[c] / (sum(v) / sum(total)) + left[c] * p[c] for c in (0, 1)], v
+        usual = sum(last) * n_texts[1] / sum(n_texts) if last else 0
+        strong = last and last[1] > 3 and p[1] >= 2 * p[0] and last[1] > usual + 4 * usual ** 0.5
+        return np.log1p(0.02 * (p[1] / p[0] - 1)) if strong else 0.0
+
+    for i, ws in words.items():
+        assert abs(got[i] - sum(map(gain, ws)) / max(len(ws), 1)) < 1e-9
+    assert got[1000] == 0 < got[1001]
+
+
 @pytest.mark.parametrize("op", [op10_toxicity.toxicity, op1_quality.quality])
 def test_scores_of_odd_inputs(op, edges, nothing, spark):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
