@@ -9,6 +9,7 @@ import pytest
 
 from tests.llm.conftest import EDGES, prose
 from tripweave.llm import op2_jaccard, op4_search, op7_passages, op8_fingerprint, op9_lines
+from tripweave.llm.hashing import mix
 from tripweave.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,6 +70,37 @@ def test_jaccard_components(families, spark, k, percent):
     assert got == brute_components(families, k, percent)
 
 
+def test_points_lose_no_link_and_leave_few_documents():
+    """Half-equal documents share many keys; their points, a tenth of the sets, tell that they don't link."""
+    r = np.random.default_rng(5)
+    shared = mix(r.integers(0, 1 << 63, 150))
+    sets = [np.unique(np.concatenate([shared, mix(r.integers(0, 1 << 63, 150))])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([r.permutation(s)[e:], mix(r.integers(0, 1 << 63, e))]))
+             for s, e in zip(sets[:20], range(10, 50, 2))]
+    limits = op2_jaccard.bands(80)
+    n = np.array([len(s) for s in sets])
+    common = set.intersection(*(set(op2_jaccard.schemes_of(k, 80, limits)) for k in n.tolist()))
+    for scheme in common:
+        g = 1 << max(limits[scheme].bit_length() - 1, 4)
+        points = np.array([op2_jaccard.point_of(s, g) for s in sets])
+        assert points.nbytes * 8 < sum(s.nbytes for s in sets)
+        pairs = [(i, j) for i in range(len(sets)) for j in range(i) if op2_jaccard.linked(sets[i], sets[j], 80)]
+        assert len(pairs) >= 10
+        for sides in (np.zeros(len(sets), int), (np.arange(len(sets)) >= 60).astype(int)):
+            able = op2_jaccard.able_rows(points, n, np.arange(len(sets)), sides, 80).tolist()
+            assert {i for p in pairs for i in p if not sides.any() or sides[p[0]] != sides[p[1]]} <= set(able)
+            assert len(able) <= 45
+        assert not len(op2_jaccard.able_rows(points, n, np.zeros(len(sets), int), np.zeros(len(sets), int), 80))
+    assert common
+
+
+def test_blocks_of_points_are_cut_into_cells(families, spark, monkeypatch):
+    monkeypatch.setattr(op2_jaccard, "POINTS", 4)
+    docs = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in op2_jaccard.jaccard_components(docs, 3, 80).collect())
+    assert got == brute_components(families, 3, 80)
+
+
 def test_jaccard_of_odd_inputs(edges, nothing):
     got = sorted(tuple(r) for r in op2_jaccard.jaccard_components(edges, 3, 90).collect())
     assert got == brute_components([(i, t) for i, t, _ in EDGES], 3, 90)

@@ -13,7 +13,8 @@ documents meet.
 
 Within a key all documents are first compared with the smallest id (as many pairs as documents). Only where a key still holds
 several components do its documents go to an R-tree block, cut into cells of bounded size, and there pairs of one component
-are skipped. So a group of copies costs one comparison a document, and the result is exact for connectivity: no pair within
+are skipped. Points are compared first, as they take a tenth of the bytes; only pairs and documents that they leave are sent
+with their sets. So a group of copies costs one comparison a document, and the result is exact for connectivity: no pair within
 a group is emitted. Equal sets are one class from the start, found by a 128-bit sum of their hashes. Sets are 64-bit
 hashes of shingles.
 
@@ -39,6 +40,9 @@ from tripweave.llm.hashing import mix, shingle_hashes, word_hashes, word_spans
 SPARE = 8
 CELL = 1024                # documents of one side of a block's cell
 LEAF = 16
+POINTS = 8192              # points of one side of a cell of points, whose leaves are large as well
+POINT_BYTES = 8 << 20
+POINT_LEAF = 256
 PEEL = 3                   # rounds in which documents without enough keys across components are let go
 _SLICE = 4 << 20
 _BAND = 1.5
@@ -66,15 +70,19 @@ def group_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def schemes_of(n: int, percent: int, limits: list[int]) -> list[int]:
+    """The size band of a set and, near its upper end, the next: two that link have one in common."""
+    band = int(np.searchsorted(limits, n))
+    return [band] + [band + 1] * (n * 100 >= percent * (limits[band] + 1))
+
+
 def keys_of(hashes: np.ndarray, percent: int, limits: list[int]) -> tuple[np.ndarray, int]:
     """What a document is found by, one key for each group, and how many keys it must share to link at all."""
     n, least = len(hashes), 1 << 30
     if n < percent // (100 - percent):
         return np.zeros(0, np.int64), least   # only an equal set reaches the threshold
-    band = int(np.searchsorted(limits, n))
-    schemes = [band] + [band + 1] * (n * 100 >= percent * (limits[band] + 1))
     out = []
-    for s in schemes:
+    for s in schemes_of(n, percent, limits):
         differ = 2 * limits[s] * (100 - percent) // (100 + percent)
         spare = max(2, differ // (SPARE - 1))
         parts = differ + 1 + spare
@@ -149,6 +157,90 @@ def may_link(minima: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) ->
     return (100 + percent) * np.minimum(minima, np.minimum(n, m)) >= percent * (n + m)
 
 
+def point_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes in each of n groups, as bytes; more than a byte holds makes a point that excludes no link."""
+    counts = np.bincount(group_of(hashes, n), minlength=n)
+    return (counts if counts.max(initial=0) < 256 else np.full(n, 255)).astype(np.uint8)
+
+
+def _points(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, scheme, n, point of stored sets that aren't empty: about a tenth of their bytes."""
+    limits = bands(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, scheme, n, point = [], [], [], []
+            for i, shingles in enumerate(batch.column("shingles")):
+                h = np.frombuffer(shingles.as_py(), np.uint64)
+                for s in schemes_of(len(h), percent, limits) if len(h) else ():
+                    at.append(i)
+                    scheme.append(s)
+                    n.append(len(h))
+                    point.append(point_of(h, 1 << max(limits[s].bit_length() - 1, 4)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(scheme, pa.int32()), pa.array(n, pa.int64()),
+                 pa.array(point, pa.binary())], ["doc_id", "scheme", "n", "point"])
+
+    return sets.mapInArrow(run, "doc_id long, scheme int, n long, point binary")
+
+
+def _likely(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [bool(may_link(np.minimum(np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8))
+                                  .sum(dtype=np.int64), n, m, percent))
+                    for x, y, n, m in zip(batch.column("left"), batch.column("right"), *(
+                        batch.column(c).to_pylist() for c in ("n", "m")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = points.select(F.col("doc_id").alias("a"), "scheme", "n", F.col("point").alias("left"))
+    right = points.select(F.col("doc_id").alias("b"), "scheme", F.col("n").alias("m"), F.col("point").alias("right"))
+    return pairs.join(left, "a").join(right, ["b", "scheme"]).select("a", "b", "n", "m", "left", "right") \
+        .mapInArrow(run, "a long, b long").distinct()
+
+
+def able_rows(points: np.ndarray, n: np.ndarray, part: np.ndarray, sides: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of a cell whose points allow a link to a row of another component ``part``; ``sides`` as in block_links."""
+    hit = np.zeros(len(n), bool)
+    if part.min() == part.max():
+        return np.flatnonzero(hit)
+    indexed = np.flatnonzero(sides == 0)
+    tree = RTree(points[indexed], n[indexed], POINT_LEAF)
+    for i in np.flatnonzero(sides == 1) if sides.any() else range(len(n)):
+        found = indexed[tree.matches(points[i], int(n[i]), percent)]
+        found = found[part[found] != part[i]]
+        hit[i] |= len(found) > 0
+        hit[found] = True
+    return np.flatnonzero(hit)
+
+
+def _able(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """doc_id of the members (block, component, doc_id) that may link to another component of their block.
+
+    Only these are sent on with their sets. A block meets scheme by scheme, so documents of too different sizes don't.
+    """
+    dealt = keep(members.join(points, "doc_id"), "dealt")
+    sized = dealt.groupBy("block", "scheme").agg(F.count("*").alias("n"), F.sum(F.length("point")).alias("bytes")).select(
+        "block", "scheme", F.ceil(F.greatest(F.col("n") / POINTS, F.col("bytes") / POINT_BYTES)).cast("int").alias("chunks"))
+    dealt = dealt.join(sized, ["block", "scheme"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "block", "scheme", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component",
+        "doc_id", "n", "point")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, ["block", "scheme", "i", "j"]):
+            own, i, j, ids, n, part = (cell.column(c).to_numpy() for c in ("own", "i", "j", "doc_id", "n", "component"))
+            sides = (own != i).astype(int)
+            if i[0] != j[0] and (not sides.any() or sides.all()):
+                continue
+            points = np.frombuffer(b"".join(cell.column("point").to_pylist()), np.uint8).reshape(len(n), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[able_rows(points, n, part, sides, percent)])], ["doc_id"])
+
+    return (cells.repartition("block", "scheme", "i", "j").sortWithinPartitions("block", "scheme", "i", "j")
+            .mapInArrow(run, "doc_id long").distinct())
+
+
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of the pairs (a, b, left, right) that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +260,15 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
 class RTree:
     """Points of group counts, bulk-loaded by size and then by the widest coordinate; boxes keep maxima and sizes."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
+        self.points, self.sizes, self.leaf = points, sizes, leaf
         self.root = self._node(np.arange(len(points)))
 
     def _node(self, rows: np.ndarray) -> dict:
         p = self.points[rows]
         node = {"top": p.max(axis=0), "least": int(self.sizes[rows].min()), "most": int(self.sizes[rows].max()),
                 "first": int(rows.min())}
-        if len(rows) <= LEAF:
+        if len(rows) <= self.leaf:
             return node | {"rows": rows}
         spread = p.max(axis=0) - p.min(axis=0)
         by = self.sizes[rows] if node["most"] - node["least"] > spread.max() else p[:, int(spread.argmax())]
@@ -196,7 +288,7 @@ class RTree:
                 continue
             if "rows" in node:
                 rows = node["rows"]
-                minima = np.minimum(self.points[rows], point).sum(axis=1)
+                minima = np.minimum(self.points[rows], point).sum(axis=1, dtype=np.int64)
                 out.append(rows[may_link(minima, size, self.sizes[rows], percent)])
             else:
                 stack += node["below"]
@@ -308,7 +400,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = keep(_sets_of(docs, ids, k), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    links = _verified(pairs.join(left, "a").join(right, "b"), percent)
+    points = keep(_points(sets, percent), "points")
+    links = _verified(_likely(pairs, points, percent).join(left, "a").join(right, "b"), percent)
     first = components(links.unionByName(same), "links")
 
     split = _mapped(_mapped(star.withColumn("x", F.col("doc_id")).withColumn("y", F.col("pivot")), "x", first,
@@ -321,9 +414,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     discard(strong)
     least = held.groupBy("key").agg(F.min("component").alias("b"))
     blocks = components(held.join(least, "key").select(F.col("component").alias("a"), "b"), "blocks")
-    members = held.select("doc_id", "component").distinct() \
-        .join(blocks.select(F.col("node").alias("component"), F.col("component").alias("block")), "component") \
-        .select("block", "component", "doc_id").join(sets, "doc_id")
+    members = keep(held.select("doc_id", "component").distinct()
+                   .join(blocks.select(F.col("node").alias("component"), F.col("component").alias("block")), "component")
+                   .select("block", "component", "doc_id"), "members")
+    able = keep(_able(members, points, percent), "able")
+    members = members.join(able, "doc_id").join(sets, "doc_id")
     more = _mapped(_mapped(_block_join(members, percent), "a", first, "component"), "b", first, "component")
     second = components(more, "more")
     discard(sets, held)
