@@ -215,12 +215,11 @@ def able_rows(points: np.ndarray, n: np.ndarray, part: np.ndarray, sides: np.nda
     return np.flatnonzero(hit)
 
 
-def _able(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """doc_id of the members (block, component, doc_id) that may link to another component of their block.
+def _able(dealt: DataFrame, percent: int) -> DataFrame:
+    """doc_id of the points (block, component, doc_id, scheme, n, point) that may link to another component of their block.
 
     Only these are sent on with their sets. A block meets scheme by scheme, so documents of too different sizes don't.
     """
-    dealt = keep(members.join(points, "doc_id"), "dealt")
     sized = dealt.groupBy("block", "scheme").agg(F.count("*").alias("n"), F.sum(F.length("point")).alias("bytes")).select(
         "block", "scheme", F.ceil(F.greatest(F.col("n") / POINTS, F.col("bytes") / POINT_BYTES)).cast("int").alias("chunks"))
     dealt = dealt.join(sized, ["block", "scheme"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
@@ -417,11 +416,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = keep(held.select("doc_id", "component").distinct()
                    .join(blocks.select(F.col("node").alias("component"), F.col("component").alias("block")), "component")
                    .select("block", "component", "doc_id"), "members")
-    able = keep(_able(members, points, percent), "able")
-    members = members.join(able, "doc_id").join(sets, "doc_id")
-    more = _mapped(_mapped(_block_join(members, percent), "a", first, "component"), "b", first, "component")
+    dealt = keep(members.join(points, "doc_id"), "dealt")
+    able = keep(_able(dealt, percent), "able")
+    discard(points, dealt)
+    with_sets = members.join(able, "doc_id").join(sets, "doc_id")
+    more = _mapped(_mapped(_block_join(with_sets, percent), "a", first, "component"), "b", first, "component")
     second = components(more, "more")
-    discard(sets, held)
+    discard(sets, held, members, able)
     out = _mapped(_mapped(named.withColumnRenamed("rep", "component_id"), "component_id", first, "component"),
                   "component_id", second, "component")
     return out.select("doc_id", "n_shingles", "component_id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import slices, text_buffer, texts
+from tripweave.llm.common import give_back, slices, text_buffer, texts
 from tripweave.llm.tokenizing import PartMemo
 
 LONGEST = 2048
@@ -65,6 +65,8 @@ def _pieces_of(batch: pa.RecordBatch, tokenizer_path: str, longest: int, end_id:
     for lo, hi in slices(offsets, _SLICE):
         ids, border = _coder(tokenizer_path).ids(data, offsets[lo:hi + 1])
         yield from _cut(batch.column("doc_id")[lo:hi].to_pylist(), ids, border, longest, end_id)
+        del ids
+        give_back()
 
 
 def _cut(docs: list, ids: np.ndarray, border: np.ndarray, longest: int, end_id: int) -> Iterator[pa.RecordBatch]:
